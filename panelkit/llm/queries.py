@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.llm import chat, decontaminate, packing, quality, simhash
+from panelkit.llm import chat, decontaminate, langid, licenses, packing, pii, quality, simhash
 from panelkit.llm.shared import table
 from panelkit.llm.sql import ORACLE
 
 #: The conversation that op1 adds: its texts hold other templates' control strings.
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
+#: The key of op8's replacements; a deployment passes its own secret.
+PII_KEY = "panelkit"
+
 
 def byte_bpe() -> Callable:
     """The encoder of the public byte-level BPE file; found on the executor that runs it."""
@@ -28,6 +31,10 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(turns.unionByName(added)))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), byte_bpe, with_ids=False)
 
@@ -42,12 +49,21 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_components(table(spark, sf_dir, "documents"))
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = langid.fit(table(spark, sf_dir, "documents"))
+    return langid.identify(table(spark, sf_dir, "pages"), model).withColumn("posterior", F.round("posterior", 6))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op4_pack, op6_decontaminate, op7_quality, op9_simhash)
+    f.__name__: f for f in (op1_chat_format, op3_license_scan, op4_pack, op6_decontaminate, op7_quality, op8_pii, op9_simhash, op10_langid)
 }
 
 
