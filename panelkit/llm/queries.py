@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.llm import chat, decontaminate, langid, licenses, packing, pii, quality, simhash
+from panelkit.llm import chat, decontaminate, langid, licenses, lm, packing, pii, quality, simhash
 from panelkit.llm.shared import table
 from panelkit.llm.sql import ORACLE
 
@@ -31,6 +31,10 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(turns.unionByName(added)))
 
 
+def op2_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(table(spark, sf_dir, "documents")).withColumns({c: F.round(c, 4) for c in ("log_score", "per_word")})
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -63,7 +67,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op3_license_scan, op4_pack, op6_decontaminate, op7_quality, op8_pii, op9_simhash, op10_langid)
+    f.__name__: f for f in (op1_chat_format, op2_stupid_backoff, op3_license_scan, op4_pack, op6_decontaminate, op7_quality, op8_pii, op9_simhash, op10_langid)
 }
 
 
