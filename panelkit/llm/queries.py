@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.llm import chat, decontaminate, langid, licenses, lm, packing, pii, quality, simhash
+from panelkit.llm import chat, decontaminate, langid, licenses, lm, packing, pii, quality, simhash, suffixes
 from panelkit.llm.shared import table
 from panelkit.llm.sql import ORACLE
 
@@ -43,6 +43,10 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), byte_bpe, with_ids=False)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicate(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -67,7 +71,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op2_stupid_backoff, op3_license_scan, op4_pack, op6_decontaminate, op7_quality, op8_pii, op9_simhash, op10_langid)
+    f.__name__: f for f in (op1_chat_format, op2_stupid_backoff, op3_license_scan, op4_pack, op5_suffix_dedup, op6_decontaminate, op7_quality, op8_pii, op9_simhash, op10_langid)
 }
 
 
