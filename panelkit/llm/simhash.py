@@ -11,23 +11,24 @@ edges, never all pairs; components are found by alternating stars.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.llm import golay, graph
+from panelkit.llm import golay, graph, shards
 from panelkit.llm.shared import pinned
-from panelkit.llm.textscan import NOT_SPACE, Words, chunks, text_buffer
+from panelkit.llm.textscan import NOT_SPACE, Words, chunks, mix, text_buffer
 
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 MAX_BITS = 4
 #: Runs of up to this many fingerprints are compared by lag, longer ones by search.
 SHORT_RUN = 8
+#: Fingerprints whose keys are made and packed together.
+KEYED_ROWS = 4_096
 
 
 def shingle_hashes(texts: pa.Array, width: int, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -142,49 +143,65 @@ def _long_run_edges(fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([none, *source]), np.concatenate([none, *target])
 
 
-def run_edges(batches: Iterator[tuple[np.ndarray, np.ndarray]], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Edges from key-sorted rows; only the run that a batch leaves open is carried over."""
-    key, fp = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+def run_edges(key: np.ndarray, fp: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Edges of at most ``bits`` differing bits within the runs of key-sorted fingerprints; star edges for long runs."""
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.append(start, len(key)))
+    short = np.repeat((size > 1) & (size <= SHORT_RUN), size)
+    yield from _short_run_edges(key[short], fp[short], bits)
+    for at in np.flatnonzero(size > SHORT_RUN):
+        yield _long_run_edges(fp[start[at] : start[at] + size[at]], bits)
 
-    def edges(key: np.ndarray, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        size = np.diff(np.append(start, len(key)))
-        short = np.repeat(size <= SHORT_RUN, size)
-        yield from _short_run_edges(key[short], fp[short], bits)
-        for at in np.flatnonzero(size > SHORT_RUN):
-            yield _long_run_edges(fp[start[at] : start[at] + size[at]], bits)
 
-    for more_key, more_fp in batches:
-        key, fp = np.concatenate([key, more_key]), np.concatenate([fp, more_fp])
-        if len(key):
-            closed = int(np.searchsorted(key.view(np.int64), key.view(np.int64)[-1]))
-            yield from edges(key[:closed], fp[:closed])
-            key, fp = key[closed:], fp[closed:]
-    yield from edges(key, fp)
+def fuzzy_edges(distinct: DataFrame, keys_of: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], per_row: int, bits: int) -> DataFrame:
+    """Edges ``a``, ``b`` between distinct fingerprints ``fp`` that share a key of ``keys_of`` and differ in ``bits`` or fewer.
+
+    Keys travel as blobs, one row for each bucket of a few thousand fingerprints; ``per_row`` is about how many keys one has.
+    """
+    buckets = shards.buckets_for(distinct.count() * per_row * 16)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every = batch.column(0).to_numpy().view(np.uint64)
+            for low in range(0, len(every), KEYED_ROWS):
+                fp = every[low : low + KEYED_ROWS]
+                row, key = keys_of(fp)
+                key = mix(key)
+                order = np.argsort(key)
+                key, row = key[order], row[order]
+                edges = shards.split_sorted(key, buckets)
+                full = np.flatnonzero(np.diff(edges))
+                parts = [slice(edges[b], edges[b + 1]) for b in full]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(full.astype(np.int32)),
+                        pa.array([p.stop - p.start for p in parts], pa.int64()),
+                        pa.array([key[p].tobytes() for p in parts], pa.binary()),
+                        pa.array([fp[row[p]].tobytes() for p in parts], pa.binary()),
+                    ],
+                    ["bucket", "size", "keys", "fps"],
+                )
+
+    def link(_: int, rows: pa.Table) -> Iterator[dict]:
+        key, fp = (np.frombuffer(b"".join(rows.column(c).to_pylist()), np.uint64) for c in ("keys", "fps"))
+        order = np.argsort(key)
+        key, fp = key[order], fp[order]
+        # A key of one fingerprint, as most are, links nothing.
+        again = key[1:] == key[:-1]
+        keep = np.concatenate([again, [False]]) | np.concatenate([[False], again])
+        pairs = [np.stack(x) for x in run_edges(key[keep], fp[keep], bits)]
+        if pairs and (found := np.unique(np.concatenate(pairs, axis=1), axis=1)).size:
+            yield {"a": found[0].view(np.int64), "b": found[1].view(np.int64)}
+
+    keys = distinct.select("fp").mapInArrow(emit, "bucket int, size bigint, keys binary, fps binary")
+    return shards.each_bucket(keys, link, "a bigint, b bigint").distinct()
 
 
 def fingerprint_edges(distinct: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     """Edges ``a``, ``b`` whose components are those of all pairs of fingerprints within ``bits`` (at most four) differing bits."""
     if not 0 <= bits <= MAX_BITS:
         raise ValueError(f"the keys find pairs of at most {MAX_BITS} differing bits")
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            every = batch.column(0).to_numpy().view(np.uint64)
-            for low in range(0, len(every), 1024):
-                fp = every[low : low + 1024]
-                row, key = key_columns(fp)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(fp[row].view(np.int64))], ["key", "fp"])
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrays = ((b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy().view(np.uint64)) for b in batches)
-        for a, b in run_edges(arrays, bits):
-            if len(a):
-                pair = pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
-                yield from pair.group_by(["a", "b"]).aggregate([]).to_batches()
-
-    keys = distinct.select("fp").mapInArrow(emit, "key bigint, fp bigint")
-    return keys.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(link, "a bigint, b bigint").distinct()
+    return fuzzy_edges(distinct, key_columns, 185, bits)
 
 
 def near_duplicate_components(docs: DataFrame, bits: int = MAX_BITS, width: int = 4, seed: int = 42) -> DataFrame:
