@@ -11,8 +11,12 @@ may not be cut, the window count rises instead.
 from __future__ import annotations
 
 import heapq
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -134,42 +138,70 @@ class _Packer:
         return out
 
 
-#: Distinct pre-tokens that a task remembers before it starts over.
-REMEMBERED = 1 << 20
+#: Distinct words that a Python worker remembers before it starts over.
+REMEMBERED = 2_000_000
+_MARKS = re.compile(r"[!-&(-/:-@\[-`{-~]+$")
+#: White space other than the space and the line end.
+_OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+_DOUBLED = ("  ", " \n", "\n ", "\n\n")
 
 
-def tokenizer_encoder(path: str, pattern: str | None = None) -> Callable[[list[str]], Iterator[np.ndarray]]:
+@lru_cache(maxsize=2)
+def tokenizer_encoder(path: str, by_words: bool = False) -> Callable[[list[str]], Iterator[np.ndarray]]:
     """Ids by a ``tokenizers`` file, no special tokens added, with ``END_ID`` after each text.
 
-    ``pattern`` is the file's own pre-token pattern: each distinct pre-token is then encoded once and remembered. Without
-    one, and for texts that hold a special token's string, whole texts go through the library.
+    ``by_words`` is for byte-level BPE files whose pre-tokens begin at single spaces and line ends: each distinct word is
+    then encoded once, with the space before it, and remembered by the worker. Texts with other or doubled white space, or
+    with a special token's string, go through the library whole.
     """
-    import regex
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     one = Tokenizer.from_file(path)
-    end = np.uint32(END_ID).tobytes()
     special = [t.content for t in one.get_added_tokens_decoder().values()]
-    pieces = regex.compile(pattern).findall if pattern else None
-    known: dict[str, bytes] = {}
 
     def whole(texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, np.uint32).tobytes() for x in one.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", x.ids).tobytes() for x in one.encode_batch_fast(texts, add_special_tokens=False)]
+
+    end, line = np.uint32(END_ID).tobytes(), whole(["\n"])[0]
+    #: Words by what stands before them: a space, a line end, or nothing at the start of a text, which is marked by a NUL and a space.
+    known: dict[str, bytes] = {}
+    marks: dict[str, bytes] = {}
+
+    def spelled(word: str) -> str:
+        return word[1:] if word[0] == "\n" else word[2:] if word.startswith("\0 ") else " " + word
+
+    def learn(words: set[str]) -> None:
+        new = words.difference(known)
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+            new = words
+        # Letters and the marks after them are pre-tokens of their own: what is new is mostly letters alone.
+        cut = {w: (w[: m.start()], m[0]) for w in new if (m := _MARKS.search(w)) and w[: m.start()].isalpha()}
+        plain = {a for a, _ in cut.values()}.difference(known).union(new.difference(cut))
+        for w, raw in zip(plain, whole([spelled(w) for w in plain]), strict=True):
+            known[w] = line + raw if w[0] == "\n" else raw
+        missing = list({b for _, b in cut.values()}.difference(marks))
+        marks.update(zip(missing, whole(missing), strict=True))
+        known.update((w, known[a] + marks[b]) for w, (a, b) in cut.items())
+
+    def plain_spaced(text: str) -> bool:
+        if not text or text[-1] == " " or text[0] == " " or any(d in text for d in _DOUBLED) or any(s in text for s in special):
+            return False
+        return "\0" not in text and not any(c in text for c in _OTHER_SPACE)
 
     def encode(texts: list[str]) -> Iterator[np.ndarray]:
-        for text in texts:
-            if pieces is None or any(s in text for s in special):
-                raw = whole([text])[0]
-            else:
-                cut = pieces(text)
-                try:
-                    raw = b"".join([known[x] for x in cut])
-                except KeyError:
-                    if len(known) > REMEMBERED:
-                        known.clear()
-                    new = [x for x in dict.fromkeys(cut) if x not in known]
-                    known.update(zip(new, whole(new), strict=True))
-                    raw = b"".join([known[x] for x in cut])
+        if not by_words:
+            for raw in whole(texts):
+                yield np.frombuffer(raw + end, np.uint32)
+            return
+        parts = [("\0 " + t.replace("\n", " \n")).split(" ") if plain_spaced(t) else None for t in texts]
+        for p in parts:
+            if p is not None:
+                p[:2] = ["\0 " + p[1]]
+        learn(set().union(*(p for p in parts if p is not None)))
+        for text, p in zip(texts, parts, strict=True):
+            raw = whole([text])[0] if p is None else b"".join(map(known.__getitem__, p))
             yield np.frombuffer(raw + end, np.uint32)
 
     return encode

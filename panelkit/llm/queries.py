@@ -22,7 +22,7 @@ def byte_bpe() -> Callable:
     """The encoder of the public byte-level BPE file; found on the executor that runs it."""
     import public_tokenizers
 
-    return packing.tokenizer_encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return packing.tokenizer_encoder(public_tokenizers.path("byte_bpe_50k.json"), by_words=True)
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
