@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelkit.llm.shared import boxed, unboxed
 from panelkit.llm.textscan import ALNUM, Words, chunks, per_document, run_hashes, text_buffer
 
 WINDOW = 13
@@ -179,12 +180,11 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, spans: b
 
     Columns stay as they are; a null text stays null and is never contaminated.
     """
-    names = docs.columns
-    scanned = scan(docs, benchmark, window)
+    scanned = scan(boxed(docs, "text"), benchmark, window)
     c = F.col("contamination")
     if not spans:
         n_hit = F.aggregate(c["hit"], F.lit(0).cast("bigint"), lambda total, run: total + run["words"])
-        return scanned.where(~((n_hit > 0) & (20 * n_hit >= c["n_words"]))).select(*names)
+        return scanned.where(~((n_hit > 0) & (20 * n_hit >= c["n_words"]))).transform(unboxed, docs.columns)
     raw = F.encode("text", "UTF-8")
     # Bytes between the cut runs: from the end of one to the start of the next.
     starts = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(c["bytes"], lambda b: b["end"]))
@@ -195,4 +195,4 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, spans: b
         lambda text, p: F.concat(text, F.substring(raw, (p["s"] + 1).cast("int"), (p["e"] - p["s"]).cast("int"))),
     )
     text = F.when(F.size(c["hit"]) > 0, F.decode(kept, "UTF-8")).otherwise(F.col("text"))
-    return scanned.select(*(text.alias(n) if n == "text" else F.col(n) for n in names))
+    return unboxed(scanned, docs.columns, text=text)

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.llm.shared import pinned
+from panelkit.llm.shared import boxed, pinned, unboxed
 
 #: Common function words of English, German, French and Spanish (fixed values).
 COMMON_WORDS = (
@@ -45,10 +45,14 @@ def _removed(text: Column, pieces: str) -> Column:
 
 
 def with_features(docs: DataFrame, histograms: bool = True, repeats: bool = True) -> DataFrame:
-    """``docs`` and one struct column ``q``. A null text counts as empty."""
-    rows = docs.drop("q", "_t", "_w", "_h", "_lines", "_s").withColumn("_t", F.coalesce("text", F.lit("")))
+    """``docs``, one struct column ``q``, and ``_row``, a row number. A null text counts as empty.
+
+    Conditions on ``q`` go along with one on ``_row``: as row numbers are not deterministic, the optimizer then does not
+    push the conditions below, which would evaluate the arrays behind ``q`` again for each of their uses.
+    """
+    rows = docs.drop("q", "_row", "_t", "_w", "_h", "_lines", "_s").withColumn("_t", F.coalesce("text", F.lit("")))
     rows = rows.withColumn("_w", F.array_remove(F.split("_t", "[ \\t-\\x0D]+"), ""))
-    names = [c for c in docs.columns if c != "q"]
+    names = [c for c in docs.columns if c not in ("q", "_row")]
     spaces = _removed(F.col("_t"), " \t\n\x0b\f\r")
     base = [
         F.size("_w").cast("bigint").alias("n_words"),
@@ -63,7 +67,7 @@ def with_features(docs: DataFrame, histograms: bool = True, repeats: bool = True
         base += [dup_lines.cast("bigint").alias("n_dup_lines"), _covered().cast("bigint").alias("n_repeat_words")]
     if histograms:
         base += [F.array(*(F.length(F.regexp_replace("_t", c, "")).cast("bigint") for c in CLASSES), F.length("_t").cast("bigint")).alias("chars"), _common_counts().alias("common")]
-    return rows.select(*names, F.struct(*base).alias("q"))
+    return rows.select(*names, F.struct(*base).alias("q"), F.monotonically_increasing_id().alias("_row"))
 
 
 def _window_hashes() -> Column:
@@ -111,7 +115,7 @@ def references(features: DataFrame) -> DataFrame:
     A null language is the language ``''``.
     """
     q = F.col("q")
-    rows = features.where((q["n_words"] >= MIN_WORDS) & (20 * q["n_symbols"] <= q["n_words"]))
+    rows = features.where((F.col("_row") >= 0) & (q["n_words"] >= MIN_WORDS) & (20 * q["n_symbols"] <= q["n_words"]))
     # Sums in exact numbers, so that the order of rows makes no difference.
     sums = [F.sum(q["chars"][k]).alias(f"c{k}") for k in range(len(CLASSES) + 1)] + [F.sum(q["common"][k]).alias(f"w{k}") for k in range(len(COMMON_WORDS) + 1)]
     summed = rows.groupBy(F.coalesce("lang", F.lit("")).alias("ref_lang")).agg(*sums)
@@ -184,5 +188,5 @@ def keep(docs: DataFrame) -> DataFrame:
     The references take one pass over the texts and the verdicts another, so that no text is shuffled.
     """
     reference = pinned(references(with_features(docs.select("text", "lang"), repeats=False)))
-    rows = judged(with_features(docs), reference)
-    return rows.where(~base_failed(F.col("q")) & ~F.col("diverges")).select(*docs.columns)
+    rows = judged(with_features(boxed(docs, "text", "lang")), reference)
+    return unboxed(rows.where((F.col("_row") >= 0) & ~base_failed(F.col("q")) & ~F.col("diverges")), docs.columns)

@@ -22,6 +22,16 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def boxed(docs: DataFrame, *columns: str) -> DataFrame:
+    """``docs`` as one struct ``_doc`` and the named columns beside it, so that no name of its own gets in the way."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), *columns)
+
+
+def unboxed(rows: DataFrame, names: list[str], **changed: F.Column) -> DataFrame:
+    """The columns of the boxed rows again, some of them changed."""
+    return rows.select(*((changed[n] if n in changed else F.col("_doc").getField(n)).alias(n) for n in names))
+
+
 #: Rows of an Arrow batch for texts: a batch is counted in rows, and documents are long.
 BATCH_ROWS = 1_000
 
