@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
@@ -21,6 +21,14 @@ class Frame:
 
     symbol: str
     order: tuple[str, ...]
+    #: Window expressions by their text: the optimizer would evaluate each use of one again, so each gets a column.
+    pulled: dict[str, tuple[str, Column]] | None = field(default=None, compare=False)
+
+    def pull(self, window: Column) -> Column:
+        """A window expression, or, while a plan is compiled, the column that will hold it."""
+        if self.pulled is None:
+            return window
+        return F.col(self.pulled.setdefault(str(window), (f"_w{len(self.pulled)}", window))[0])
 
     def rows(self) -> Window:
         return Window.partitionBy(self.symbol).orderBy(*self.order)
@@ -29,15 +37,15 @@ class Frame:
         return self.rows().rowsBetween(-(n - 1), 0)
 
     def number(self) -> Column:
-        return F.row_number().over(self.rows())
+        return self.pull(F.row_number().over(self.rows()))
 
     def full(self, x: Column, n: int) -> Column:
-        return F.count(x).over(self.last(n)) == n
+        return self.pull(F.count(x).over(self.last(n))) == n
 
 
 def _aggregate(make: Callable[[Column], Column]):
     def rolling(f: Frame, x: Column, n: int) -> Column:
-        return F.when(f.full(x, n), make(x).over(f.last(n)))
+        return F.when(f.full(x, n), f.pull(make(x).over(f.last(n))))
 
     return rolling
 
@@ -54,17 +62,17 @@ ts_median = _aggregate(lambda x: F.percentile(x, 0.5))
 def ts_rank(f: Frame, x: Column, n: int) -> Column:
     """Share of the window that is not above its last value; missing where all values are equal."""
     w = f.last(n)
-    below = F.size(F.filter(F.collect_list(x).over(w), lambda e: e <= x))
-    return F.when(f.full(x, n) & (F.min(x).over(w) != F.max(x).over(w)), below / F.lit(float(n)))
+    below = F.size(F.filter(f.pull(F.collect_list(x).over(w)), lambda e: e <= x))
+    return F.when(f.full(x, n) & (f.pull(F.min(x).over(w)) != f.pull(F.max(x).over(w))), below / F.lit(float(n)))
 
 
 def ts_argmin(f: Frame, x: Column, n: int, number: Column) -> Column:
     """Rows since the least value, the oldest on ties."""
-    return F.when(f.full(x, n), (number - F.min_by(number, F.struct(x, number)).over(f.last(n))).cast("double"))
+    return F.when(f.full(x, n), (number - f.pull(F.min_by(number, F.struct(x, number)).over(f.last(n)))).cast("double"))
 
 
 def ts_argmax(f: Frame, x: Column, n: int, number: Column) -> Column:
-    return F.when(f.full(x, n), (number - F.max_by(number, F.struct(x, -number)).over(f.last(n))).cast("double"))
+    return F.when(f.full(x, n), (number - f.pull(F.max_by(number, F.struct(x, -number)).over(f.last(n)))).cast("double"))
 
 
 def ts_scale(f: Frame, x: Column, n: int, constant: float) -> Column:
@@ -85,7 +93,7 @@ def ts_quantile(f: Frame, x: Column, n: int, driver: str) -> Column:
 def ts_kurtosis(f: Frame, x: Column, n: int) -> Column:
     """Population excess kurtosis."""
     w = f.last(n)
-    return F.when(f.full(x, n) & (F.stddev_pop(x).over(w) >= EPSILON), F.kurtosis(x).over(w))
+    return F.when(f.full(x, n) & (f.pull(F.stddev_pop(x).over(w)) >= EPSILON), f.pull(F.kurtosis(x).over(w)))
 
 
 def ts_skew_of(f: Frame, d: Column, n: int) -> Column:
@@ -93,20 +101,20 @@ def ts_skew_of(f: Frame, d: Column, n: int) -> Column:
     if n <= 2:
         return F.lit(None).cast("double")
     w = f.last(n)
-    square = F.sum(d * d).over(w)
+    square = f.pull(F.sum(d * d).over(w))
     scale = F.pow(square, F.lit(1.5)) * float((n - 1) * (n - 2))
-    return F.when(f.full(d, n), safe_div(F.lit(float(n)) * F.sum(d * d * d).over(w), scale))
+    return F.when(f.full(d, n), safe_div(F.lit(float(n)) * f.pull(F.sum(d * d * d).over(w)), scale))
 
 
 def ts_cov(f: Frame, x: Column, y: Column, n: int) -> Column:
-    return F.when(f.full(x, n) & f.full(y, n), F.covar_samp(x, y).over(f.last(n)))
+    return F.when(f.full(x, n) & f.full(y, n), f.pull(F.covar_samp(x, y).over(f.last(n))))
 
 
 def ts_corr(f: Frame, x: Column, y: Column, n: int) -> Column:
     w = f.last(n)
-    varies = (F.min(x).over(w) != F.max(x).over(w)) & (F.min(y).over(w) != F.max(y).over(w))
-    scale = F.stddev_samp(x).over(w) * F.stddev_samp(y).over(w)
-    return F.when(f.full(x, n) & f.full(y, n) & varies, F.try_divide(F.covar_samp(x, y).over(w), scale))
+    varies = (f.pull(F.min(x).over(w)) != f.pull(F.max(x).over(w))) & (f.pull(F.min(y).over(w)) != f.pull(F.max(y).over(w)))
+    scale = f.pull(F.stddev_samp(x).over(w)) * f.pull(F.stddev_samp(y).over(w))
+    return F.when(f.full(x, n) & f.full(y, n) & varies, F.try_divide(f.pull(F.covar_samp(x, y).over(w)), scale))
 
 
 def ts_cv(f: Frame, x: Column, n: int) -> Column:
@@ -121,10 +129,10 @@ def ts_reversal_count(f: Frame, x: Column, n: int) -> Column:
     """Share of sign changes between the differences of neighbouring rows in the window; from three values on."""
     w = f.last(n)
     # Structs keep missing values, so that neighbours are rows, not values.
-    values = F.transform(F.collect_list(F.struct(x.alias("v"))).over(w), lambda s: s["v"])
+    values = F.transform(f.pull(F.collect_list(F.struct(x.alias("v"))).over(w)), lambda s: s["v"])
     steps = F.filter(F.transform(values, lambda v, i: F.when(i > 0, v - F.get(values, i - 1))), lambda d: d.isNotNull())
     changes = F.size(F.filter(F.transform(steps, lambda d, i: F.when(i > 0, d * F.get(steps, i - 1))), lambda p: p < 0))
-    return F.when((F.count(x).over(w) >= 3) & (F.size(steps) >= 2), F.try_divide(changes.cast("double"), (F.size(steps) - 1).cast("double")))
+    return F.when((f.pull(F.count(x).over(w)) >= 3) & (F.size(steps) >= 2), F.try_divide(changes.cast("double"), (F.size(steps) - 1).cast("double")))
 
 
 def ts_vr(f: Frame, one: Column, many: Column, n: int, k: int) -> Column:
@@ -132,6 +140,6 @@ def ts_vr(f: Frame, one: Column, many: Column, n: int, k: int) -> Column:
     return safe_div(F.pow(ts_std(f, many, n), F.lit(2.0)), k * F.pow(ts_std(f, one, n), F.lit(2.0)) + EPSILON)
 
 
-def cs_guarded(x: Column, w: Window, value: Column) -> Column:
+def cs_guarded(f: Frame, x: Column, w: Window, value: Column) -> Column:
     """One missing value voids the cross-section."""
-    return F.when(F.count(x).over(w) == F.count(F.lit(1)).over(w), value)
+    return F.when(f.pull(F.count(x).over(w)) == f.pull(F.count(F.lit(1)).over(w)), value)

@@ -250,12 +250,12 @@ class Factor:
 
     # Functions of a cross-section, all symbols at one end time
 
-    def _across(self, kind: str, make: Callable[[Column], Column], validate: bool) -> Factor:
+    def _across(self, kind: str, make: Callable[..., Column], validate: bool) -> Factor:
         from pyspark.sql import Window
 
-        def value(_, x: Column) -> Column:
+        def value(f: rolling.Frame, x: Column) -> Column:
             w = Window.partitionBy("end_time")
-            return rolling.cs_guarded(x, w, make(x, w))
+            return rolling.cs_guarded(f, x, w, make(f, x, w))
 
         if validate and self.df().where("factor IS NOT NULL").isEmpty():
             raise ValueError("All factor values are NaN")
@@ -264,14 +264,16 @@ class Factor:
     def rank(self, validate: bool = False) -> Factor:
         """Least rank over group size; missing where all values are equal."""
         return self._across(
-            "rank", lambda x, w: F.when(F.min(x).over(w) != F.max(x).over(w), F.rank().over(w.orderBy(x)) / F.count(F.lit(1)).over(w)), validate
+            "rank",
+            lambda f, x, w: F.when(f.pull(F.min(x).over(w)) != f.pull(F.max(x).over(w)), f.pull(F.rank().over(w.orderBy(x))) / f.pull(F.count(F.lit(1)).over(w))),
+            validate,
         )
 
     def mean(self, validate: bool = False) -> Factor:
-        return self._across("mean", lambda x, w: F.avg(x).over(w), validate)
+        return self._across("mean", lambda f, x, w: f.pull(F.avg(x).over(w)), validate)
 
     def median(self, validate: bool = False) -> Factor:
-        return self._across("median", lambda x, w: F.percentile(x, 0.5).over(w), validate)
+        return self._across("median", lambda f, x, w: f.pull(F.percentile(x, 0.5).over(w)), validate)
 
     # Functions of a symbol's last rows
 
@@ -339,10 +341,10 @@ class Factor:
         return Factor(d._last("ts_skewness", window, rolling.ts_skew_of), f"ts_skewness({self.name},{window})")
 
     def ts_shift(self, period: int) -> Factor:
-        return self._rolling(("ts_shift", period), lambda f, x: F.lag(x, period).over(f.rows()), f"ts_shift({self.name},{period})")
+        return self._rolling(("ts_shift", period), lambda f, x: f.pull(F.lag(x, period).over(f.rows())), f"ts_shift({self.name},{period})")
 
     def ts_delta(self, period: int) -> Factor:
-        return self._rolling(("ts_delta", period), lambda f, x: x - F.lag(x, period).over(f.rows()), f"ts_delta({self.name},{period})")
+        return self._rolling(("ts_delta", period), lambda f, x: x - f.pull(F.lag(x, period).over(f.rows())), f"ts_delta({self.name},{period})")
 
     def _pair(self, other: Factor, kind: str, window: int, make: Callable[..., Column]) -> Factor:
         if not isinstance(other, Factor):

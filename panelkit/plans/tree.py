@@ -9,7 +9,7 @@ over one panel needs no join.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,6 +77,7 @@ class Windowed(Scalar):
 def compile_nodes(df: DataFrame, frame: Frame, keys: tuple[str, ...], wanted: dict[str, Node]) -> DataFrame:
     """``keys`` and a column for each wanted node."""
     names: dict[Node, str] = {}
+    frame = replace(frame, pulled={})
 
     def column(node: Node) -> Column:
         if node in names:
@@ -122,6 +123,8 @@ def compile_nodes(df: DataFrame, frame: Frame, keys: tuple[str, ...], wanted: di
         out = out.withColumns({n: column(p) for p, n in below.items()})
         names |= below
         made = {node: f"_n{len(names) + i}" for i, node in enumerate(levels[level])}
-        out = out.withColumns({n: column(p) for p, n in made.items()})
+        before = len(frame.pulled)
+        columns = {n: column(p) for p, n in made.items()}
+        out = out.withColumns(dict(list(frame.pulled.values())[before:])).withColumns(columns)
         names |= made
     return out.select(*(F.col(f"`{k}`") for k in keys), *(column(node).alias(name) for name, node in wanted.items()))
