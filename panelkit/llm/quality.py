@@ -22,8 +22,8 @@ COMMON_WORDS = (
     "el los las del y se lo por con una su al es como más o"
 ).split()
 SYMBOLS = "#*$%&|<>"
-#: Character classes as the characters that are kept when a class is counted; the rest is the last class.
-CLASSES = ("[^a-z0-9]+", "[^A-Z]+", "[^ \\t-\\r]+", "[^.,;:!?'\"()-]+", "[^#*$%&|<>]+", "[^\\x00-\\x7F]+")
+#: Character classes, as what is taken away when the characters of a class are counted (fixed values); the rest is the last class.
+CLASSES = ("[^a-z0-9]+", "[^A-Z]+", "[^ \\t-\\r]+", "[^.,;:!?'\"()-]+", "[^#*$%&|<>]+", "[\\x00-\\x7F]+")
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -32,7 +32,7 @@ MIN_CHARS = 300
 MIN_COMMON = 50
 #: A language with fewer characters than this over all its documents has no reference.
 MIN_REFERENCE_CHARS = 20_000
-MAX_CLASS_DISTANCE = 0.15
+MAX_CLASS_DISTANCE = 0.19
 MAX_WORD_DISTANCE = 0.55
 #: Rows of the reference table that may be broadcast; beyond it Spark picks the join.
 BROADCAST_ROWS = 10_000
