@@ -138,8 +138,8 @@ class _Packer:
         return out
 
 
-#: Distinct words that a Python worker remembers before it starts over.
-REMEMBERED = 2_000_000
+#: Distinct words that a Python worker remembers; further ones are encoded whenever they come.
+REMEMBERED = 1_000_000
 _MARKS = re.compile(r"[!-&(-/:-@\[-`{-~]+$")
 #: White space other than the space and the line end.
 _OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
@@ -171,19 +171,19 @@ def tokenizer_encoder(path: str, by_words: bool = False) -> Callable[[list[str]]
     def spelled(word: str) -> str:
         return word[1:] if word[0] == "\n" else word[2:] if word.startswith("\0 ") else " " + word
 
-    def learn(words: set[str]) -> None:
+    def learn(words: set[str]) -> dict[str, bytes]:
+        """The ids of words that are not remembered; they are, as long as there is room."""
         new = words.difference(known)
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = words
+        found = known if len(known) + len(new) <= REMEMBERED else {}
         # Letters and the marks after them are pre-tokens of their own: what is new is mostly letters alone.
         cut = {w: (w[: m.start()], m[0]) for w in new if (m := _MARKS.search(w)) and w[: m.start()].isalpha()}
         plain = {a for a, _ in cut.values()}.difference(known).union(new.difference(cut))
         for w, raw in zip(plain, whole([spelled(w) for w in plain]), strict=True):
-            known[w] = line + raw if w[0] == "\n" else raw
+            found[w] = line + raw if w[0] == "\n" else raw
         missing = list({b for _, b in cut.values()}.difference(marks))
         marks.update(zip(missing, whole(missing), strict=True))
-        known.update((w, known[a] + marks[b]) for w, (a, b) in cut.items())
+        found.update((w, (known[a] if a in known else found[a]) + marks[b]) for w, (a, b) in cut.items())
+        return found
 
     def plain_spaced(text: str) -> bool:
         if not text or text[-1] == " " or text[0] == " " or any(d in text for d in _DOUBLED) or any(s in text for s in special):
@@ -199,9 +199,14 @@ def tokenizer_encoder(path: str, by_words: bool = False) -> Callable[[list[str]]
         for p in parts:
             if p is not None:
                 p[:2] = ["\0 " + p[1]]
-        learn(set().union(*(p for p in parts if p is not None)))
+        rest = learn(set().union(*(p for p in parts if p is not None)))
         for text, p in zip(texts, parts, strict=True):
-            raw = whole([text])[0] if p is None else b"".join(map(known.__getitem__, p))
+            if p is None:
+                raw = whole([text])[0]
+            elif rest is known:
+                raw = b"".join(map(known.__getitem__, p))
+            else:
+                raw = b"".join([known[w] if w in known else rest[w] for w in p])
             yield np.frombuffer(raw + end, np.uint32)
 
     return encode
