@@ -72,8 +72,11 @@ class TextModel:
 
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> TextModel:
     """A text model from at most ``sample_rows`` documents with a ``lang``, whole texts, picked by a hash of their content."""
-    picked = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
-    picked = picked.orderBy(F.xxhash64("lang", "text"), "lang").limit(sample_rows)
+    labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
+    # About twice the sample passes a threshold of the hash, so that no task sees more than a few times its size.
+    share = min(1.0, 2 * sample_rows / max(1, labelled.count()))
+    picked = labelled.withColumn("h", F.xxhash64("lang", "text")).where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    picked = picked.orderBy("h", "lang").limit(sample_rows).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,7 +102,8 @@ _HIDDEN = re.compile(r"<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<[^>]*>", r
 
 
 def visible_text(html: str) -> str:
-    return html_entities.unescape(_HIDDEN.sub(" ", html)) if html else ""
+    """The text of a page without markup, scripts and comments; white space is single spaces."""
+    return " ".join(html_entities.unescape(_HIDDEN.sub(" ", html)).split()) if html else ""
 
 
 def evidence(pages: DataFrame, model: TextModel) -> DataFrame:
