@@ -193,6 +193,13 @@ def test_two_panels_join(panel):
     assert len((left["x"].where(right["y"] > 0, right["x"])).df().collect()) == 3 * 5
 
 
+def test_three_panels_join(panel):
+    a, b, c = (panel.slice(symbols=own) for own in (["S0", "S1"], ["S1", "S2"], ["S1"]))
+    got = values(a["x"].where(b["y"] > 1, c["y"]))
+    same = values(panel["x"].where(panel["y"] > 1, panel["y"]))
+    assert got == {"S1": same["S1"]}
+
+
 @pytest.mark.parametrize(
     "call",
     [lambda x: x.ts_mean(0), lambda x: x.ts_quantile(5, "other"), lambda x: x.ts_autocorr(5, 0), lambda x: x.ts_vr(5, 0), lambda x: x.log(1), lambda x: x.where(1), lambda x: x.ts_reversal_count(2)],
