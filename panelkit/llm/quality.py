@@ -23,7 +23,8 @@ COMMON_WORDS = (
 ).split()
 SYMBOLS = "#*$%&|<>"
 #: Character classes, as what is taken away when the characters of a class are counted (fixed values); the rest is the last class.
-CLASSES = ("[^a-z0-9]+", "[^A-Z]+", "[^ \\t-\\r]+", "[^.,;:!?'\"()-]+", "[^#*$%&|<>]+", "[\\x00-\\x7F]+")
+SPACE_CLASS, SYMBOL_CLASS = "[^ \\t-\\r]+", "[^#*$%&|<>]+"
+CLASSES = ("[^a-z0-9]+", "[^A-Z]+", SPACE_CLASS, "[^.,;:!?'\"()-]+", SYMBOL_CLASS, "[\\x00-\\x7F]+")
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -66,7 +67,10 @@ def with_features(docs: DataFrame, histograms: bool = True, repeats: bool = True
         dup_lines = F.coalesce(F.size("_lines") - F.size(F.array_distinct("_lines")), F.lit(0))
         base += [dup_lines.cast("bigint").alias("n_dup_lines"), _covered().cast("bigint").alias("n_repeat_words")]
     if histograms:
-        base += [F.array(*(F.length(F.regexp_replace("_t", c, "")).cast("bigint") for c in CLASSES), F.length("_t").cast("bigint")).alias("chars"), _common_counts().alias("common")]
+        kept = lambda c: F.length(F.regexp_replace("_t", c, "")).cast("bigint")
+        # White space and symbols are counted already, without a regular expression.
+        counts = [spaces if c == SPACE_CLASS else _removed(F.col("_t"), SYMBOLS) if c == SYMBOL_CLASS else kept(c) for c in CLASSES]
+        base += [F.array(*counts, F.length("_t").cast("bigint")).alias("chars"), _common_counts().alias("common")]
     return rows.select(*names, F.struct(*base).alias("q"), F.monotonically_increasing_id().alias("_row"))
 
 
