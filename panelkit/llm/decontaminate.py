@@ -184,7 +184,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, spans: b
     c = F.col("contamination")
     if not spans:
         n_hit = F.aggregate(c["hit"], F.lit(0).cast("bigint"), lambda total, run: total + run["words"])
-        return scanned.where(~((n_hit > 0) & (20 * n_hit >= c["n_words"]))).transform(unboxed, docs.columns)
+        return scanned.where(~((n_hit > 0) & (20 * n_hit >= c["n_words"]))).transform(unboxed, docs.columns, "text")
     raw = F.encode("text", "UTF-8")
     # Bytes between the cut runs: from the end of one to the start of the next.
     starts = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(c["bytes"], lambda b: b["end"]))
@@ -195,4 +195,4 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, spans: b
         lambda text, p: F.concat(text, F.substring(raw, (p["s"] + 1).cast("int"), (p["e"] - p["s"]).cast("int"))),
     )
     text = F.when(F.size(c["hit"]) > 0, F.decode(kept, "UTF-8")).otherwise(F.col("text"))
-    return unboxed(scanned, docs.columns, text=text)
+    return unboxed(scanned, docs.columns, "text", text=text)

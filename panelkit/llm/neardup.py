@@ -202,7 +202,8 @@ def components(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARI
     nodes = pinned(seen.groupBy("_a", "_b").agg(F.min("_id").alias("least"), F.first("fp").alias("fp")).withColumn("node", node))
     stars = graph.components(fuzzy_edges(pinned(nodes.select("fp").distinct()), _pair_keys, 85, bits))
     clusters = nodes.join(stars.withColumnRenamed("node", "fp"), "fp", "left").withColumn("cluster", F.coalesce("root", "fp"))
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1")
+    # Written before the join, so that the join is all there is after its exchanges, and a large cluster can be split.
+    sizes = pinned(clusters.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1"))
     members = clusters.join(sizes, "cluster").select(F.col("least").alias("_id"), "_a", "_b", "node", "cluster", F.ceil(F.col("n") / BLOCK_DOCS).alias("n_blocks"))
     members = pinned(members)
     texts = rows.join(members, "_id").select("text", "_a", "_b", "node", "cluster", "n_blocks")
@@ -224,11 +225,11 @@ def keep_one(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY
     """
     found = pinned(components(docs, width, similarity, bits))
     gone = found.where("NOT kept").select("_id", "_a", "_b")
-    given = boxed(docs, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("_id"), "text")
+    given = boxed(docs, "doc_id", "text").withColumn("_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)))
     left = _with_sequence(given, fingerprint=False).join(gone, ["_id", "_a", "_b"], "left_anti")
     repeated = found.where("kept AND n_rows > 1").select("_id", "_a", "_b")
     if not repeated.isEmpty():
         left = left.join(repeated, ["_id", "_a", "_b"], "left_anti").unionByName(
             left.join(repeated, ["_id", "_a", "_b"], "left_semi").dropDuplicates(["_id", "_a", "_b"])
         )
-    return unboxed(left, docs.columns)
+    return unboxed(left, docs.columns, "doc_id", "text")

@@ -169,19 +169,19 @@ def replace(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     A null text stays null. Texts without an entity stay as they are; repeated rows and equal texts get equal results.
     """
     names = [c for c in docs.columns if c != "n_replaced"]
-    given = boxed(docs.drop("n_replaced"), F.col(text).alias("_text"))
+    given = boxed(docs.drop("n_replaced"), text)
     redraw = exceptions(docs.select(F.col(text).alias("text")), key)
     few = redraw.limit(LITERAL_EXCEPTIONS + 1).collect()
-    rows = given.withColumn("_e", entities(F.col("_text")))
+    rows = given.withColumn("_e", entities(F.col(text)))
     if len(few) <= LITERAL_EXCEPTIONS:
         pairs = [F.lit(x) for r in few for x in (f"{r.kind}\x1f{r.canon}", r.attempt)]
         attempts = F.create_map(*pairs) if pairs else None
     else:
-        mine = rows.where(F.size("_e") > 0).select(F.sha2(F.col("_text"), 256).alias("_d"), F.explode("_e").alias("e")).distinct()
+        mine = rows.where(F.size("_e") > 0).select(F.sha2(F.col(text), 256).alias("_d"), F.explode("_e").alias("e")).distinct()
         mine = mine.withColumn("kind", kind_of(F.col("e"))).withColumn("canon", canonical(F.col("e"), F.col("kind"))).join(redraw, ["kind", "canon"])
         pair = F.struct(F.concat_ws("\x1f", "kind", "canon").alias("key"), F.col("attempt").alias("value"))
         mine = mine.groupBy("_d").agg(F.map_from_entries(F.collect_set(pair)).alias("_a"))
-        hit = rows.withColumn("_d", F.when(F.size("_e") > 0, F.sha2(F.col("_text"), 256)))
+        hit = rows.withColumn("_d", F.when(F.size("_e") > 0, F.sha2(F.col(text), 256)))
         rows = hit.where("_d IS NOT NULL").join(mine, "_d", "left").unionByName(hit.where("_d IS NULL"), allowMissingColumns=True)
         attempts = F.col("_a")
 
@@ -190,8 +190,8 @@ def replace(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
         attempt = F.lit(0) if attempts is None else F.coalesce(F.try_element_at(attempts, F.concat_ws("\x1f", kind, canonical(e, kind))), F.lit(0))
         return surrogate(e, kind, attempt, key)
 
-    gaps = F.split(F.col("_text"), ANY, -1)
+    gaps = F.split(F.col(text), ANY, -1)
     # Each replacement is followed by the text up to the next entity.
     joined = F.concat(F.element_at(gaps, 1), F.array_join(F.zip_with(F.transform("_e", made), F.slice(gaps, F.lit(2), F.size("_e")), lambda s, gap: F.concat(s, gap)), ""))
-    value = F.when(F.size("_e") > 0, joined).otherwise(F.col("_text"))
-    return unboxed(rows, [*names, "n_replaced"], **{text: value, "n_replaced": F.size("_e").cast("bigint")})
+    value = F.when(F.size("_e") > 0, joined).otherwise(F.col(text))
+    return unboxed(rows, names, text, **{text: value, "n_replaced": F.size("_e").cast("bigint")})

@@ -193,4 +193,4 @@ def keep(docs: DataFrame) -> DataFrame:
     """
     reference = pinned(references(with_features(docs.select("text", "lang"), repeats=False)))
     rows = judged(with_features(boxed(docs, "text", "lang")), reference)
-    return unboxed(rows.where((F.col("_row") >= 0) & ~base_failed(F.col("q")) & ~F.col("diverges")), docs.columns)
+    return unboxed(rows.where((F.col("_row") >= 0) & ~base_failed(F.col("q")) & ~F.col("diverges")), docs.columns, "text", "lang")

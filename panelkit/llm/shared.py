@@ -22,14 +22,15 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def boxed(docs: DataFrame, *columns: str) -> DataFrame:
-    """``docs`` as one struct ``_doc`` and the named columns beside it, so that no name of its own gets in the way."""
-    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), *columns)
+def boxed(docs: DataFrame, *kept: str) -> DataFrame:
+    """``docs`` with numbered columns, but for the kept ones, so that no name of its own gets in the way."""
+    return docs.select(*(F.col(f"`{c}`").alias(c if c in kept else f"_c{i}") for i, c in enumerate(docs.columns)))
 
 
-def unboxed(rows: DataFrame, names: list[str], **changed: F.Column) -> DataFrame:
-    """The columns of the boxed rows again, some of them changed."""
-    return rows.select(*((changed[n] if n in changed else F.col("_doc").getField(n)).alias(n) for n in names))
+def unboxed(rows: DataFrame, names: list[str], *kept: str, **changed: F.Column) -> DataFrame:
+    """The columns of boxed rows under their names again, some of them changed; changed ones of other names come last."""
+    own = [changed.pop(n, F.col(n if n in kept else f"_c{i}")).alias(n) for i, n in enumerate(names)]
+    return rows.select(*own, *(column.alias(n) for n, column in changed.items()))
 
 
 #: Rows of an Arrow batch for texts: a batch is counted in rows, and documents are long.

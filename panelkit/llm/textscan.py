@@ -12,7 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 21
+#: Bytes of text that are scanned together; the arrays of a scan are some forty times as large.
+CHUNK_BYTES = 1 << 19
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -122,7 +123,7 @@ _TABLES: dict[int, np.ndarray] = {}
 def _table(base: int, n: int) -> np.ndarray:
     have = _TABLES.get(base)
     if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 16) + 1, base, np.uint64)
+        have = np.full(max(n, CHUNK_BYTES) + 1, base, np.uint64)
         have[0] = 1
         have = np.cumprod(have, dtype=np.uint64)
         _TABLES[base] = have
