@@ -27,7 +27,7 @@ SIMILARITY = 0.8
 CANDIDATE_BITS = 14
 LONG_WORD = 5
 #: Documents of a cluster in one block; larger clusters are compared by pairs of blocks.
-BLOCK_DOCS = 2_048
+BLOCK_DOCS = 512
 _NO_ID = (1 << 63) - 1
 
 
