@@ -1,9 +1,11 @@
-"""Near-duplicates on word shingles: Golay keys of SimHash fingerprints find candidates, exact Jaccard similarity decides.
+"""Near-duplicates on word shingles: Golay keys of SimHash fingerprints and bands of least hashes find candidates, exact Jaccard similarity decides.
 
 Texts of the same words collapse first. The fingerprint is over the distinct
 longer words, which an edit moves less than shingles; two segments of it that
-share a codeword index make a key. Runs of equal keys give star edges of
-candidates and so clusters; within a cluster shingle sets are compared exactly,
+share a codeword index make a key. Those keys miss pairs of many differing bits,
+so bands of least shingle hashes are keys too: of a pair at the similarity all
+bands differ in one of hundreds of millions. Runs of equal keys give star edges
+of candidates and so clusters; within a cluster shingle sets are compared exactly,
 in blocks of bounded size, each document only with those not reached yet.
 """
 
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.llm import golay, graph
+from panelkit.llm import golay, graph, shards
 from panelkit.llm.shared import boxed, pinned, unboxed
 from panelkit.llm.simhash import SEGMENTS, fuzzy_edges, majority_bits
 from panelkit.llm.textscan import NOT_SPACE, Words, chunks, mix, run_hashes, text_buffer
@@ -28,6 +30,9 @@ CANDIDATE_BITS = 14
 LONG_WORD = 5
 #: Documents of a cluster in one block; larger clusters are compared by pairs of blocks.
 BLOCK_DOCS = 512
+#: Bands of least hashes and hashes in each: a pair of similarity s shares no band with probability (1 - s**6)**64, 4e-9 at 0.8.
+BANDS, BAND_HASHES = 64, 6
+_FACTORS = mix(np.arange(1, BANDS * BAND_HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 _NO_ID = (1 << 63) - 1
 
 
@@ -102,6 +107,64 @@ def _pair_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
+def _band_keys(shingles: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Document numbers and keys of all bands; document i has the shingles ``first[i]:first[i+1]``, one without any has no key."""
+    has = np.flatnonzero(first[1:] > first[:-1])
+    at, keys = first[:-1][has], []
+    for band in range(BANDS if len(has) else 0):
+        key = np.full(len(has), band, np.uint64)
+        for factor in _FACTORS[band * BAND_HASHES : (band + 1) * BAND_HASHES]:
+            key = mix(key ^ np.minimum.reduceat(shingles * factor, at))
+        keys.append(key)
+    return np.tile(has, len(keys)), np.concatenate([np.zeros(0, np.uint64), *keys])
+
+
+def _band_edges(rows: DataFrame, distinct: int, width: int) -> DataFrame:
+    """Star edges ``a``, ``b`` between fingerprints of documents that share a band; keys travel as blobs by bucket, texts do not."""
+    buckets = shards.buckets_for(distinct * BANDS * 16)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = [np.zeros((2, 0), np.uint64)]
+            for words, value in _scan(batch.column(0)):
+                start, size = words.run_starts(width, whole=True)
+                hashes = run_hashes(value, start, size) if len(start) else np.zeros(0, np.uint64)
+                doc, key = _band_keys(hashes, np.searchsorted(start, words.first))
+                pairs.append(np.stack([key, _word_fingerprints(words, value).view(np.uint64)[doc]]))
+            key, fp = np.concatenate(pairs, axis=1)
+            order = np.lexsort((fp, key))
+            key, fp = key[order], fp[order]
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])
+            key, fp = key[new], fp[new]
+            edges = shards.split_sorted(key, buckets)
+            full = np.flatnonzero(np.diff(edges))
+            parts = [slice(edges[b], edges[b + 1]) for b in full]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(full.astype(np.int32)),
+                    pa.array([p.stop - p.start for p in parts], pa.int64()),
+                    pa.array([key[p].tobytes() for p in parts], pa.binary()),
+                    pa.array([fp[p].tobytes() for p in parts], pa.binary()),
+                ],
+                ["bucket", "size", "keys", "fps"],
+            )
+
+    def link(_: int, found: pa.Table) -> Iterator[dict]:
+        key, fp = (np.frombuffer(b"".join(found.column(c).to_pylist()), np.uint64) for c in ("keys", "fps"))
+        order = np.argsort(key, kind="stable")
+        key, fp = key[order], fp[order]
+        again = np.flatnonzero(key[1:] == key[:-1]) + 1
+        hub = fp[np.searchsorted(key, key[again])]
+        pairs = np.stack([hub, fp[again]])[:, hub != fp[again]]
+        if pairs.size:
+            pairs = np.unique(pairs, axis=1)
+            yield {"a": pairs[0].view(np.int64), "b": pairs[1].view(np.int64)}
+
+    keys = rows.select("text").mapInArrow(emit, "bucket int, size bigint, keys binary, fps binary")
+    return shards.each_bucket(keys, link, "a bigint, b bigint").distinct()
+
+
 def _shingle_sets(rows: DataFrame, width: int) -> DataFrame:
     """``node``, ``cluster``, ``i``, ``j`` and ``shingles``, the sorted distinct hashes of the shingles, where the text still has the sequence."""
 
@@ -200,7 +263,8 @@ def components(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARI
     # One node for each word sequence; its number is unique to it.
     node = F.xxhash64("_a", "_b")
     nodes = pinned(seen.groupBy("_a", "_b").agg(F.min("_id").alias("least"), F.first("fp").alias("fp")).withColumn("node", node))
-    stars = graph.components(fuzzy_edges(pinned(nodes.select("fp").distinct()), _pair_keys, 85, bits))
+    near = fuzzy_edges(pinned(nodes.select("fp").distinct()), _pair_keys, 85, bits)
+    stars = graph.components(near.unionByName(_band_edges(rows, nodes.count(), width)))
     clusters = nodes.join(stars.withColumnRenamed("node", "fp"), "fp", "left").withColumn("cluster", F.coalesce("root", "fp"))
     # Written before the join, so that the join is all there is after its exchanges, and a large cluster can be split.
     sizes = pinned(clusters.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1"))
