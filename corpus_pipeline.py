@@ -24,8 +24,8 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go."""
-    return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"))
+    """Contaminated documents go; hit passages are cut out of the others."""
+    return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"), spans=True, whole=True)
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

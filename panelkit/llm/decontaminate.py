@@ -175,16 +175,19 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
     )
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, spans: bool = False) -> DataFrame:
-    """``docs`` without contaminated documents, or, with ``spans``, all documents with the hit word runs cut out of the text.
+def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, spans: bool = False, whole: bool | None = None) -> DataFrame:
+    """``docs`` without contaminated documents (``whole``), and, with ``spans``, with the hit word runs cut out of the text of those that stay.
 
-    Columns stay as they are; a null text stays null and is never contaminated.
+    Without ``whole`` no document goes; it is the opposite of ``spans`` where it is not given. Columns stay as they are; a
+    null text stays null and is never contaminated.
     """
     scanned = scan(boxed(docs, "text"), benchmark, window)
     c = F.col("contamination")
-    if not spans:
+    if whole or (whole is None and not spans):
         n_hit = F.aggregate(c["hit"], F.lit(0).cast("bigint"), lambda total, run: total + run["words"])
-        return scanned.where(~((n_hit > 0) & (20 * n_hit >= c["n_words"]))).transform(unboxed, docs.columns, "text")
+        scanned = scanned.where(~((n_hit > 0) & (20 * n_hit >= c["n_words"])))
+    if not spans:
+        return unboxed(scanned, docs.columns, "text")
     raw = F.encode("text", "UTF-8")
     # Bytes between the cut runs: from the end of one to the start of the next.
     starts = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(c["bytes"], lambda b: b["end"]))

@@ -7,7 +7,8 @@ import numpy as np
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent.parent))
 
-from panelkit.llm import neardup
+import corpus_pipeline
+from panelkit.llm import decontaminate, neardup
 
 
 def lone_pairs(n):
@@ -38,3 +39,15 @@ def test_all_lone_pairs_above_the_similarity_are_found(spark):
         assert 0.8 <= len(x & y) / len(x | y) < 0.86
     kept = {r.doc_id for r in neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == {i for i, _ in rows if i % 2 == 0}
+
+
+def test_passages_of_the_benchmark_are_cut_out_of_long_documents(spark, monkeypatch):
+    passage = " ".join(f"item{k}" for k in range(20))
+    long = " ".join(f"word{k}" for k in range(600))
+    rows = [(1, f"{long}. {passage}. {long}"), (2, f"{passage} and little else"), (3, long), (4, None)]
+    benchmark = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *_: benchmark)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.benchmark_decontamination(spark, docs, "").collect()}
+    assert got == {1: f"{long}. . {long}", 3: long, 4: None}
+    assert decontaminate.report(docs, benchmark).where("contaminated").count() == 1
