@@ -39,6 +39,8 @@ PATTERNS: dict[str, str] = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
+#: The country code of a number in international form, by its digits alone (fixed values of E.164): one digit, two, or else three.
+COUNTRY = r"^\+([17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 #: Exceptions that may travel as a literal map; more of them are joined.
 LITERAL_EXCEPTIONS = 1_000
 ATTEMPTS = 24
@@ -58,9 +60,13 @@ def kind_of(entity: Column) -> Column:
 
 
 def canonical(entity: Column, kind: Column) -> Column:
-    """One form for all spellings: numbers without separators, the rest in lower case."""
+    """One form for all spellings: numbers without separators, but for the plus sign of a phone number; the rest in lower case.
+
+    A replacement of this form has the digits that one of any spelling has, and keeps the same ones.
+    """
     plain = F.regexp_replace(entity, "[^\\p{L}\\p{N}]", "")
-    return F.when(kind.isin("phone", "card", "iban", "national_id"), F.upper(plain)).otherwise(F.lower(entity))
+    phone = F.concat(F.regexp_extract(entity, r"^\+?", 0), plain)
+    return F.when(kind == "phone", phone).when(kind.isin("card", "iban", "national_id"), F.upper(plain)).otherwise(F.lower(entity))
 
 
 def _draw(digest: Column, at: Column) -> Column:
@@ -106,7 +112,7 @@ def surrogate(entity: Column, kind: Column, attempt: Column, key: str) -> Column
         return F.array_join(F.transform(chars, lambda c, i: F.when(place(i) < skip, c).otherwise(_char(c, _draw(digest, place(i)), hex_only))), "")
 
     octets = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.pmod(_draw(digest, i), F.lit(254)) + 1).cast("string"))
-    country = F.length(F.regexp_extract(entity, r"^\+(\d{1,3})(?=[ .(-])", 1))
+    country = F.length(F.regexp_extract(canonical(entity, F.lit("phone")), COUNTRY, 1))
     tld = F.regexp_extract(entity, r"\.[A-Za-z]{2,24}$", 0)
     mail = F.concat(by_char(F.regexp_replace(entity, r"\.[A-Za-z]{2,24}$", ""), F.lit(0), F.lit(False)), tld)
     out = (

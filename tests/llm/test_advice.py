@@ -1,14 +1,16 @@
 """Cases that a review found missing."""
 
+import re
 import sys
 from pathlib import Path
 
 import numpy as np
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent.parent))
 
 import corpus_pipeline
-from panelkit.llm import decontaminate, neardup
+from panelkit.llm import decontaminate, neardup, pii
 
 
 def lone_pairs(n):
@@ -51,3 +53,16 @@ def test_passages_of_the_benchmark_are_cut_out_of_long_documents(spark, monkeypa
     got = {r.doc_id: r.text for r in corpus_pipeline.benchmark_decontamination(spark, docs, "").collect()}
     assert got == {1: f"{long}. . {long}", 3: long, 4: None}
     assert decontaminate.report(docs, benchmark).where("contaminated").count() == 1
+
+
+def test_replaced_phone_numbers_stay_distinct_in_all_spellings(spark, monkeypatch):
+    """Few digits are drawn, so that many replacements coincide at first, with each other and with numbers that exist."""
+    draw = pii._draw
+    monkeypatch.setattr(pii, "_draw", lambda digest, at: F.when(at < 9, F.lit(5)).otherwise(F.pmod(draw(digest, at), F.lit(10))))
+    digits = [f"{17 + k:03d}555{7700 + k}" for k in range(12)] + [f"55555555{k:02d}" for k in range(12)]
+    rows = [(k, f"+1 ({d[:3]}) {d[3:6]}-{d[6:]} and +1{d} and +1-{d[:3]}-{d[3:6]}-{d[6:]}") for k, d in enumerate(digits)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    got = [[re.sub(r"\D", "", x) for x in r.text.split(" and ")] for r in pii.replace(docs, "key").collect()]
+    assert all(len(x) == 3 and len(set(x)) == 1 and x[0][0] == "1" for x in got)
+    made = {x[0] for x in got}
+    assert len(made) == len(rows) and not made & {f"1{d}" for d in digits}
