@@ -1,7 +1,8 @@
 """Licence scans by sentence rules.
 
 A text is cut into sentences, each sentence is normalised and looked up among
-known licence sentences; the sequence of identifiers found is then held against
+known licence sentences, first line by line, then over the lines of a paragraph
+that it is wrapped over; the sequence of identifiers found is then held against
 ordered licence rules. A rule takes the sentences it matches, later rules see the rest.
 """
 
@@ -17,18 +18,26 @@ SENTENCES: dict[str, str] = {
     "apache2-copy": "you may obtain a copy of the license at http www.apache.org licenses license 2.0",
     "apache2-asis": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
     "apache2-see": "see the license for the specific language governing permissions and limitations under the license",
+    "apache2-header": "licensed under the apache license version 2.0 the license",
+    "apache2-header-use": "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license",
+    "apache2-at": "you may obtain a copy of the license at",
     "mit-notice": "released under the mit license",
     "mit-under": "licensed under the mit license",
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
+    "mit-grant-whole": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
     "mit-keep": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "asis-warranty": "the software is provided as is without warranty of any kind express or implied",
+    "mit-warranty": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+    "mit-liability": "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
     "gpl3-work": "this work is licensed under the gnu general public license version 3",
     "gpl3-under": "licensed under the gnu general public license version 3",
     "gpl-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "gpl2-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
     "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
     "gpl2-work": "this work is licensed under the gnu general public license version 2",
     "bsd-grant": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "bsd-notice": "licensed under the bsd license",
+    "mpl2-copy": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla.org mpl 2.0",
     "mpl2-terms": "this source code form is subject to the terms of the mozilla public license v. 2.0",
     "ccby4": "licensed under cc by 4.0",
     "ccbysa4": "licensed under cc by sa 4.0",
@@ -39,17 +48,25 @@ SENTENCES: dict[str, str] = {
 #: Licence rules in order: the licence, and the sentences that must follow one another among the known ones (fixed values).
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("Apache-2.0", ("apache2-notice", "apache2-use", "apache2-copy", "apache2-asis", "apache2-see")),
+    ("Apache-2.0", ("apache2-header", "apache2-use", "apache2-at", "apache2-asis", "apache2-see")),
+    ("Apache-2.0", ("apache2-header-use", "apache2-at", "apache2-asis", "apache2-see")),
+    ("MIT", ("mit-grant-whole", "mit-keep", "mit-warranty", "mit-liability")),
     ("MIT", ("mit-grant", "mit-keep", "asis-warranty")),
     ("MIT", ("mit-notice", "mit-grant")),
     ("GPL-3.0-or-later", ("gpl-free", "gpl-hope")),
+    ("GPL-2.0-or-later", ("gpl2-free", "gpl-hope")),
     ("Apache-2.0", ("apache2-notice", "apache2-use")),
     ("Apache-2.0", ("apache2-notice",)),
+    ("Apache-2.0", ("apache2-header",)),
+    ("Apache-2.0", ("apache2-header-use",)),
     ("MIT", ("mit-notice",)),
     ("MIT", ("mit-under",)),
     ("MIT", ("mit-grant",)),
+    ("MIT", ("mit-grant-whole",)),
     ("GPL-3.0-only", ("gpl3-work",)),
     ("GPL-3.0-only", ("gpl3-under",)),
     ("GPL-3.0-or-later", ("gpl-free",)),
+    ("GPL-2.0-or-later", ("gpl2-free",)),
     ("GPL-2.0-only", ("gpl2-work",)),
     ("BSD", ("bsd-grant",)),
     ("BSD", ("bsd-notice",)),
@@ -62,18 +79,36 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 )
 #: A known sentence has at least one of these words, so texts without them are not cut up.
 HINT = r"(?i)licen[sc]e|rights reserved|permission|permitted|warranty|free software|copyright|public domain|this file"
-#: A sentence ends at a full stop, exclamation or question mark before white space or the end, or at a line end.
-SENTENCE_END = r"[.!?]+(?:[ \t]+|\n|$)|\n"
+#: A sentence ends at a full stop, exclamation or question mark before white space or the end, but not after the ``v`` of a version.
+SENTENCE_END = r"(?<!\b[vV])[.!?]+(?:[ \t]+|\n|$)"
 NOT_NORMAL = r"[^a-z0-9.]+"
+#: Lines that a known sentence may be wrapped over; comment leaders are no part of the normal form.
+MAX_LINES = 16
+#: Stands for what a wrapped sentence does not run over: an empty line, the end of a sentence, a line known by itself.
+_BREAK = "\n"
 
 
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
     known = F.create_map(*(F.lit(x) for k, v in SENTENCES.items() for x in (v, k)))
-    sentences = F.split(F.regexp_replace(text, r"\r", ""), SENTENCE_END)
-    normal = F.transform(sentences, lambda s: F.trim(F.regexp_replace(F.lower(s), NOT_NORMAL, " ")))
-    found = F.filter(F.transform(normal, lambda s: F.try_element_at(known, s)), lambda x: x.isNotNull())
-    return F.when(F.rlike(text, F.lit(HINT)), found).otherwise(F.array().cast("array<string>"))
+    sentences = F.array(*map(F.lit, SENTENCES.values()))
+    lines = F.split(F.regexp_replace(F.regexp_replace(text, r"\r", ""), SENTENCE_END, "\n\n"), "\n")
+    normal = F.transform(lines, lambda s: F.trim(F.regexp_replace(F.lower(s), NOT_NORMAL, " ")))
+
+    def wrapped(parts: Column, i: Column) -> Column:
+        """The known sentence of the fewest lines from line ``i`` on."""
+        runs = F.transform(F.sequence(F.lit(2), F.lit(MAX_LINES)), lambda k: F.try_element_at(known, F.array_join(F.slice(parts, i + 1, k), " ")))
+        return F.try_element_at(F.filter(runs, lambda x: x.isNotNull()), F.lit(1))
+
+    def found(normal: Column) -> Column:
+        opens = lambda s: (s != "") & F.exists(sentences, lambda v: F.startswith(v, F.concat(s, F.lit(" "))))
+        parts = F.transform(normal, lambda s: F.when((s == "") | F.map_contains_key(known, s), F.lit(_BREAK)).otherwise(s))
+        ids = lambda p: F.transform(normal, lambda s, i: F.coalesce(F.try_element_at(known, s), F.when(opens(s), wrapped(p, i))))
+        return F.flatten(F.transform(F.array(parts), ids))
+
+    # Lines are bound once, as the only element of an array.
+    ids = F.filter(F.flatten(F.transform(F.array(normal), found)), lambda x: x.isNotNull())
+    return F.when(F.rlike(text, F.lit(HINT)), ids).otherwise(F.array().cast("array<string>"))
 
 
 def _chain(ids: tuple[str, ...]) -> str:

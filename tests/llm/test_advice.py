@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent.parent))
 
 import corpus_pipeline
-from panelkit.llm import decontaminate, neardup, pii
+from panelkit.llm import decontaminate, licenses, neardup, pii
 
 
 def lone_pairs(n):
@@ -66,3 +66,71 @@ def test_replaced_phone_numbers_stay_distinct_in_all_spellings(spark, monkeypatc
     assert all(len(x) == 3 and len(set(x)) == 1 and x[0][0] == "1" for x in got)
     made = {x[0] for x in got}
     assert len(made) == len(rows) and not made & {f"1{d}" for d in digits}
+
+
+APACHE = """Copyright 2024 Somebody
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+MIT = """Copyright (c) 2024 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+GPL3 = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+BSD = """Copyright (c) 2024, Somebody
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+
+
+def test_genuine_licence_texts_are_recognised(spark):
+    want = {"Apache-2.0": APACHE, "MIT": MIT, "GPL-3.0-or-later": GPL3, "GPL-2.0-or-later": GPL3.replace("version 3", "version 2"), "BSD": BSD, "MPL-2.0": MPL}
+    leaders = {"": ("", ""), "# ": ("", ""), " * ": ("/*\n", "\n */"), "// ": ("", "")}
+    rows = [(name, before + "\n".join(lead + x for x in text.split("\n")) + after + "\n\ncode();") for name, text in want.items() for lead, (before, after) in leaders.items()]
+    # Wrapped elsewhere, after a line that is no part of the sentence.
+    rows.append(("Apache-2.0", APACHE.replace("\n\nLic", "\nLic").replace('"License");\nyou', '"License"); you').replace("file except", "file\nexcept")))
+    rows += [("MIT", "Released under the MIT License\nof nothing, with permission"), ("", "You may not use this file except\n\nin compliance with the License.")]
+    df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id int, text string")
+    got = {r.doc_id: r for r in licenses.scan(df).collect()}
+    assert [got[k].licenses for k in range(len(rows) - 2)] == [name for name, _ in rows[:-2]]
+    assert got[4].sentence_ids == "mit-grant-whole,mit-keep,mit-warranty,mit-liability"
+    assert got[len(rows) - 1].sentence_ids == ""
+    assert got[len(rows) - 2].sentence_ids == "mit-notice"
