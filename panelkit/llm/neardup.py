@@ -1,97 +1,114 @@
 """Near-duplicates on word shingles: Golay keys of SimHash fingerprints and bands of least hashes find candidates, exact Jaccard similarity decides.
 
-Texts of the same words collapse first. The fingerprint is over the distinct
-longer words, which an edit moves less than shingles; two segments of it that
-share a codeword index make a key. Those keys miss pairs of many differing bits,
-so bands of least shingle hashes are keys too: of a pair at the similarity all
-bands differ in one of hundreds of millions. Runs of equal keys give star edges
-of candidates and so clusters; within a cluster shingle sets are compared exactly,
-in blocks of bounded size, each document only with those not reached yet.
+Texts of the same words collapse first. Two segments of the SimHash of a text's
+shingles that share a codeword index make a key: that finds all fingerprints of
+five or fewer differing bits. Texts of a similarity near the threshold differ in
+more bits, so bands of least shingle hashes are keys too: of a pair at the
+threshold all bands differ in one of a million. Candidates are checked where
+their keys meet, fingerprints by their bits and bands by a sketch of 128 bits, so
+that clusters are of texts that resemble one another. Within a cluster shingle
+sets are compared exactly, each with those not reached yet. A cluster of several
+blocks is compared within each block; what links blocks is found by one text of
+each group of a block, and the texts outside the largest group are then held
+against all blocks.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelkit.llm import golay, graph, shards
 from panelkit.llm.shared import boxed, pinned, unboxed
-from panelkit.llm.simhash import SEGMENTS, fuzzy_edges, majority_bits
+from panelkit.llm.simhash import SEGMENTS, fuzzy_edges, keyed_rows, keyed_values, majority_bits
 from panelkit.llm.textscan import NOT_SPACE, Words, chunks, mix, run_hashes, text_buffer
 
 WIDTH = 5
 SIMILARITY = 0.8
-#: Differing bits of 64 up to which fingerprints of one key are candidates.
-CANDIDATE_BITS = 14
-LONG_WORD = 5
-#: Documents of a cluster in one block; larger clusters are compared by pairs of blocks.
-BLOCK_DOCS = 512
-#: Bands of least hashes and hashes in each: a pair of similarity s shares no band with probability (1 - s**6)**64, 4e-9 at 0.8.
-BANDS, BAND_HASHES = 64, 6
+#: Differing bits of 64 that two equal segment indices of three are sure to find.
+CANDIDATE_BITS = 5
+#: Bands of least hashes and hashes in each: a pair of similarity s shares no band with probability (1 - s**5)**36, 6e-7 at 0.8.
+BANDS, BAND_HASHES = 36, 5
+#: Differing bits of 128, one of each least hash, up to which texts of one band are candidates: 4.5 deviations over the mean at 0.8.
+SKETCH_BITS = 28
+#: Texts and shingles of a cluster in one block, about; larger clusters have several.
+BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1 << 20
 _FACTORS = mix(np.arange(1, BANDS * BAND_HASHES + 1, dtype=np.uint64)) | np.uint64(1)
+#: Bytes of a text's signature: its bands, then its sketch.
+_SIGNATURE = 8 * BANDS + 16
 _NO_ID = (1 << 63) - 1
 
 
-def _scan(texts: pa.Array) -> Iterator[tuple[Words, np.ndarray]]:
+def _scan(texts: pa.Array) -> Iterator[Words]:
     data, offsets = text_buffer(texts)
     for low, high in chunks(offsets):
-        words = Words(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], NOT_SPACE)
-        yield words, words.hashes()
-
-
-def _sequence(words: Words, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits for the word sequence of each text."""
-    size = np.diff(words.first)
-    if not len(value):
-        return np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
-    one = np.where(size > 0, run_hashes(value, words.first[:-1], size), np.uint64(0))
-    two = np.where(size > 0, run_hashes(mix(value + np.uint64(1)), words.first[:-1], size), np.uint64(0))
-    return one.view(np.int64), two.view(np.int64)
-
-
-def _word_fingerprints(words: Words, value: np.ndarray) -> np.ndarray:
-    """SimHash of the distinct words of ``LONG_WORD`` bytes or more, or of all where a text has none."""
-    doc = words.docs()
-    long = words.end - words.start >= LONG_WORD
-    has = np.zeros(len(words.first) - 1, bool)
-    has[doc[long]] = True
-    keep = long | ~has[doc]
-    doc, value = doc[keep], value[keep]
-    order = np.lexsort((value, doc))
-    doc, value = doc[order], value[order]
-    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])]) if len(doc) else np.zeros(0, bool)
-    return majority_bits(value[new], np.searchsorted(doc[new], np.arange(len(words.first)))).view(np.int64)
-
-
-def _with_sequence(docs: DataFrame, fingerprint: bool) -> DataFrame:
-    """All columns of ``docs`` (or ``_id`` alone with ``fingerprint``) and ``_a``, ``_b``, the word sequence, and ``_fp``."""
-    given = docs.select("_id", "text") if fingerprint else docs
-    at = given.columns.index("text")
-    kept = [i for i, c in enumerate(given.columns) if not (fingerprint and c == "text")]
-    fields = [given.schema.fields[i] for i in kept]
-    names = [f.name for f in fields] + ["_a", "_b"] + ["_fp"] * fingerprint
+        yield Words(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], NOT_SPACE)
+
+
+def _sequence(words: Words) -> np.ndarray:
+    """128 bits of a cryptographic hash of the words of each text, as two columns."""
+    raw, at = words.spaced()
+    edges = at[words.first].tolist()
+    digests = b"".join(hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(edges[:-1], edges[1:], strict=True))
+    return np.frombuffer(digests, np.int64).reshape(-1, 2)
+
+
+def _shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles, repeats included, and the range of each text."""
+    start, size = words.run_starts(width, whole=True)
+    return run_hashes(words.hashes(), start, size), np.searchsorted(start, words.first)
+
+
+def _signatures(shingles: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each text with shingles the keys of its bands and two numbers of 64 bits, one bit of each of the first 128 least hashes."""
+    has = np.flatnonzero(first[1:] > first[:-1])
+    at = first[:-1][has]
+    out = np.zeros((len(first) - 1, BANDS + 2), np.uint64)
+    for k in range(BANDS * BAND_HASHES if len(has) else 0):
+        least = np.minimum.reduceat(shingles * _FACTORS[k], at)
+        if k % BAND_HASHES == 0:
+            out[has, k // BAND_HASHES] = np.uint64(k)
+        out[has, k // BAND_HASHES] = mix(out[has, k // BAND_HASHES] ^ least)
+        if k < 128:
+            # A middle bit of the mixed number: low bits of products are not spread.
+            out[has, BANDS + k // 64] |= (mix(least) >> np.uint64(40) & np.uint64(1)) << np.uint64(k % 64)
+    return out
+
+
+def _with_sequence(docs: DataFrame, width: int | None = None) -> DataFrame:
+    """All columns of ``docs`` and ``_a``, ``_b``, the word sequence; with ``width`` ``_id`` alone, ``_a``, ``_b``, the number of
+    words ``_n``, the fingerprint ``_fp`` and the signature ``_sig``, null where a text has no words."""
+    at = docs.columns.index("text")
+    kept = [i for i, c in enumerate(docs.columns) if width is None or c == "_id"]
+    fields = [docs.schema.fields[i] for i in kept]
+    added = [T.StructField(n, T.LongType()) for n in ["_a", "_b"] + ["_n", "_fp"] * (width is not None)]
+    added += [T.StructField("_sig", T.BinaryType())] * (width is not None)
+    names = [f.name for f in [*fields, *added]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made: list[list[np.ndarray]] = [[], [], []]
-            for words, value in _scan(batch.column(at)):
-                a, b = _sequence(words, value)
-                made[0].append(a)
-                made[1].append(b)
-                if fingerprint:
-                    made[2].append(_word_fingerprints(words, value))
-            none = np.zeros(0, np.int64)
-            columns = [pa.array(np.concatenate([none, *x])) for x in made[: 2 + fingerprint]]
+            made: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(4)]
+            sig: list[bytes | None] = []
+            for words in _scan(batch.column(at)):
+                sequence = _sequence(words)
+                made[0].append(sequence[:, 0])
+                made[1].append(sequence[:, 1])
+                if width is not None:
+                    shingles, first = _shingles(words, width)
+                    made[2].append(np.diff(words.first))
+                    made[3].append(majority_bits(shingles, first).view(np.int64))
+                    sig += [s.tobytes() if n else None for s, n in zip(_signatures(shingles, first), np.diff(first), strict=True)]
+            columns = [pa.array(np.concatenate(x)) for x in made[: 2 if width is None else 4]]
+            columns += [pa.array(sig, pa.binary())] * (width is not None)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *columns], names)
 
-    from pyspark.sql import types as T
-
-    added = [T.StructField(n, T.LongType()) for n in names[len(fields) :]]
-    return given.mapInArrow(run, T.StructType([*fields, *added]))
+    return docs.mapInArrow(run, T.StructType([*fields, *added]))
 
 
 def _pair_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,113 +124,94 @@ def _pair_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def _band_keys(shingles: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Document numbers and keys of all bands; document i has the shingles ``first[i]:first[i+1]``, one without any has no key."""
-    has = np.flatnonzero(first[1:] > first[:-1])
-    at, keys = first[:-1][has], []
-    for band in range(BANDS if len(has) else 0):
-        key = np.full(len(has), band, np.uint64)
-        for factor in _FACTORS[band * BAND_HASHES : (band + 1) * BAND_HASHES]:
-            key = mix(key ^ np.minimum.reduceat(shingles * factor, at))
-        keys.append(key)
-    return np.tile(has, len(keys)), np.concatenate([np.zeros(0, np.uint64), *keys])
+def _run_links(sketch: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges within a run of one band: each text is held against those that no text before it has reached."""
+    left, a, b = np.arange(len(fp)), [], []
+    while len(left):
+        hub, wave, left = left[0], left[:1], left[1:]
+        while len(wave) and len(left):
+            near = np.bitwise_count(sketch[left] ^ sketch[wave[0]]).sum(1) <= bits
+            a.append(np.full(int(near.sum()), fp[hub]))
+            b.append(fp[left[near]])
+            wave, left = np.concatenate([wave[1:], left[near]]), left[~near]
+    none = np.zeros(0, np.uint64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
-def _band_edges(rows: DataFrame, distinct: int, width: int) -> DataFrame:
-    """Star edges ``a``, ``b`` between fingerprints of documents that share a band; keys travel as blobs by bucket, texts do not."""
-    buckets = shards.buckets_for(distinct * BANDS * 16)
+def _band_edges(scanned: DataFrame, rows: int) -> DataFrame:
+    """Star edges ``a``, ``b`` between fingerprints of texts that share a band and whose sketches are near; keys travel as blobs by bucket."""
+    buckets = shards.buckets_for(rows * BANDS * 32)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = [np.zeros((2, 0), np.uint64)]
-            for words, value in _scan(batch.column(0)):
-                start, size = words.run_starts(width, whole=True)
-                hashes = run_hashes(value, start, size) if len(start) else np.zeros(0, np.uint64)
-                doc, key = _band_keys(hashes, np.searchsorted(start, words.first))
-                pairs.append(np.stack([key, _word_fingerprints(words, value).view(np.uint64)[doc]]))
-            key, fp = np.concatenate(pairs, axis=1)
-            order = np.lexsort((fp, key))
-            key, fp = key[order], fp[order]
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])
-            key, fp = key[new], fp[new]
-            edges = shards.split_sorted(key, buckets)
-            full = np.flatnonzero(np.diff(edges))
-            parts = [slice(edges[b], edges[b + 1]) for b in full]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(full.astype(np.int32)),
-                    pa.array([p.stop - p.start for p in parts], pa.int64()),
-                    pa.array([key[p].tobytes() for p in parts], pa.binary()),
-                    pa.array([fp[p].tobytes() for p in parts], pa.binary()),
-                ],
-                ["bucket", "size", "keys", "fps"],
-            )
+            has = np.flatnonzero(batch.column(1).is_valid())
+            if not len(has):
+                continue
+            sig = np.frombuffer(b"".join(batch.column(1).drop_null().to_pylist()), np.uint64).reshape(-1, BANDS + 2)
+            # The same words in several rows of a batch are sent once.
+            sig, once = np.unique(sig, axis=0, return_index=True)
+            fp = batch.column(0).to_numpy()[has][once].view(np.uint64)
+            key = sig[:, :BANDS].T.ravel()
+            order = np.argsort(key)
+            row = order % len(sig)
+            yield keyed_rows(key[order], buckets, fps=fp[row], sketches=sig[row, BANDS:])
 
     def link(_: int, found: pa.Table) -> Iterator[dict]:
-        key, fp = (np.frombuffer(b"".join(found.column(c).to_pylist()), np.uint64) for c in ("keys", "fps"))
-        order = np.argsort(key, kind="stable")
-        key, fp = key[order], fp[order]
-        again = np.flatnonzero(key[1:] == key[:-1]) + 1
-        hub = fp[np.searchsorted(key, key[again])]
-        pairs = np.stack([hub, fp[again]])[:, hub != fp[again]]
-        if pairs.size:
-            pairs = np.unique(pairs, axis=1)
-            yield {"a": pairs[0].view(np.int64), "b": pairs[1].view(np.int64)}
-
-    keys = rows.select("text").mapInArrow(emit, "bucket int, size bigint, keys binary, fps binary")
+        key, fp, sketch = keyed_values(found, "fps", "sketches")
+        order = np.argsort(key)
+        key, fp, sketch = key[order], fp[order], sketch.reshape(-1, 2)[order]
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(start, len(key)))
+        pairs = [np.zeros((2, 0), np.uint64)]
+        # Most runs are of two texts: those are compared all at once.
+        two = start[size == 2]
+        near = two[np.bitwise_count(sketch[two] ^ sketch[two + 1]).sum(1) <= SKETCH_BITS]
+        pairs.append(np.stack([fp[near], fp[near + 1]]))
+        for at, n in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            pairs.append(np.stack(_run_links(sketch[at : at + n], fp[at : at + n], SKETCH_BITS)))
+        a, b = graph.stars(*np.concatenate(pairs, axis=1))
+        if len(a):
+            yield {"a": a.view(np.int64), "b": b.view(np.int64)}
+
+    keys = scanned.select("_fp", "_sig").mapInArrow(emit, "bucket int, size bigint, keys binary, fps binary, sketches binary")
     return shards.each_bucket(keys, link, "a bigint, b bigint").distinct()
 
 
-def _shingle_sets(rows: DataFrame, width: int) -> DataFrame:
-    """``node``, ``cluster``, ``i``, ``j`` and ``shingles``, the sorted distinct hashes of the shingles, where the text still has the sequence."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            wanted = np.stack([batch.column(k).to_numpy() for k in (1, 2)])
-            at, sets, keep = 0, [], []
-            for words, value in _scan(batch.column(0)):
-                a, b = _sequence(words, value)
-                start, size = words.run_starts(width, whole=True)
-                hashes = run_hashes(value, start, size) if len(start) else np.zeros(0, np.uint64)
-                first = np.searchsorted(start, words.first)
-                for d in range(len(a)):
-                    if wanted[0, at + d] == a[d] and wanted[1, at + d] == b[d]:
-                        keep.append(at + d)
-                        sets.append(np.unique(hashes[first[d] : first[d + 1]]).view(np.int64))
-                at += len(a)
-            take = pa.array(keep, pa.int64())
-            columns = [c.take(take) for c in batch.columns[3:]]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "cluster", "n_blocks", "shingles"])
-
-    return rows.mapInArrow(run, "node bigint, cluster bigint, n_blocks bigint, shingles binary")
-
-
-def _similar_edges(node: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
-    """Star edges of the components of some documents under Jaccard similarity; each is compared with those not reached yet."""
-    sizes = np.array([len(s) for s in sets])
-    every = np.concatenate([np.zeros(0, np.int64), *sets])
-    # Shingles as small numbers, so that a document's set is a mask.
-    every = np.unique(every, return_inverse=True)[1]
-    edge = np.concatenate([[0], np.cumsum(sizes)])
-    mask = np.zeros(int(every.max(initial=-1)) + 1, bool)
-    left = np.arange(len(sets))
+class _Sets:
+    """Sets of numbers, and how many of one are in each of some others."""
+
+    def __init__(self, sets: list[np.ndarray], similarity: float):
+        self.similarity = similarity
+        self.size = np.array([len(s) for s in sets], np.int64)
+        self.edge = np.concatenate([[0], np.cumsum(self.size)])
+        # Numbers as small ones, so that a set is a mask.
+        self.every = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)[1]
+        self.mask = np.zeros(int(self.every.max(initial=-1)) + 1, bool)
+
+    def near(self, one: int, others: np.ndarray) -> np.ndarray:
+        """Which of ``others`` have ``similarity`` or more with the set ``one``; places in ``others``."""
+        # The sizes bound the similarity, most of the rest is not counted at all.
+        able = (np.minimum(self.size[others], self.size[one]) >= self.similarity * np.maximum(self.size[others], self.size[one])).nonzero()[0]
+        if not len(able):
+            return able
+        own = self.every[self.edge[one] : self.edge[one + 1]]
+        self.mask[own] = True
+        length = self.size[others[able]]
+        before = np.concatenate([[0], np.cumsum(length)[:-1]])
+        at = np.repeat(self.edge[others[able]] - before, length) + np.arange(length.sum())
+        common = np.add.reduceat(self.mask[self.every[at]].astype(np.int64), before) if len(at) else length
+        self.mask[own] = False
+        return able[common >= self.similarity * (length + self.size[one] - common)]
+
+
+def _own_edges(node: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
+    """Star edges of the components of some texts; each is held against those not reached yet."""
+    held, left = _Sets(sets, similarity), np.arange(len(sets))
     a, b = [], []
     while len(left):
         hub, wave, left = int(left[0]), [int(left[0])], left[1:]
         while wave and len(left):
-            one = wave.pop()
-            # The size of either set bounds the similarity, most of the rest is not counted at all.
-            able = (np.minimum(sizes[left], sizes[one]) >= similarity * np.maximum(sizes[left], sizes[one])).nonzero()[0]
-            if not len(able):
-                continue
-            own = every[edge[one] : edge[one + 1]]
-            mask[own] = True
-            lengths = sizes[left[able]]
-            at = np.repeat(edge[left[able]] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
-            common = np.add.reduceat(mask[every[at]].astype(np.int64), np.concatenate([[0], np.cumsum(lengths)[:-1]])) if len(at) else np.zeros(len(able), np.int64)
-            mask[own] = False
-            near = able[common >= similarity * (lengths + sizes[one] - common)]
+            near = held.near(wave.pop(), left)
             reached = left[near]
             a += [int(node[hub])] * len(reached)
             b += node[reached].tolist()
@@ -222,34 +220,90 @@ def _similar_edges(node: np.ndarray, sets: list[np.ndarray], similarity: float)
     return a, b
 
 
-def _verified_edges(rows: DataFrame, similarity: float) -> DataFrame:
-    """Edges between nodes of one cluster; a cluster of several blocks is compared block by block."""
-    block = F.pmod(F.xxhash64("node"), F.col("n_blocks"))
-    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_blocks") - 1))
-    spread = rows.withColumn("mine", block).withColumn("other", other)
-    spread = spread.select("node", "shingles", "cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+def _cross_edges(node: np.ndarray, sets: list[np.ndarray], similarity: float, sent: np.ndarray) -> tuple[list[int], list[int]]:
+    """Edges that link the texts ``sent`` to a block with all of the block that is similar to them: one for each group of
+    the block that others have linked already, so that there are at most as many as texts."""
+    held, own = _Sets(sets, similarity), np.flatnonzero(~sent)
+    group = np.arange(len(own))
+    a, b = [], []
+    for one in np.flatnonzero(sent).tolist():
+        near = held.near(one, own)
+        near = near[node[own[near]] != node[one]]
+        if not len(near):
+            continue
+        met, at = np.unique(group[near], return_index=True)
+        a += [int(node[one])] * len(met)
+        b += node[own[near[at]]].tolist()
+        group[np.isin(group, met)] = met[0]
+    return a, b
+
+
+def _block_edges(rows: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Edges ``a``, ``b`` within the texts of each ``cluster`` and ``block``, or where some of them are ``sent``, of those with the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, node, sets = None, [], []
+        current, node, sent, sets = None, [], [], []
 
-        def done() -> pa.RecordBatch:
-            a, b = _similar_edges(np.array(node, np.int64), sets, similarity)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        def done() -> Iterator[pa.RecordBatch]:
+            marks = np.array(sent, bool)
+            if len(node) > 1 and not marks.all():
+                a, b = _cross_edges(np.array(node), sets, similarity, marks) if marks.any() else _own_edges(np.array(node), sets, similarity)
+                if a:
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(5)]
-            for n, shingles, *group in zip(*columns, strict=True):
-                if group != current:
-                    if len(node) > 1:
-                        yield done()
-                    current, node, sets = group, [], []
-                node.append(n)
-                sets.append(np.frombuffer(shingles, np.int64))
-        if len(node) > 1:
-            yield done()
-
-    grouped = spread.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node")
-    return grouped.mapInArrow(run, "a bigint, b bigint").distinct()
+            groups, nodes, marks = zip(*(batch.column(k).to_pylist() for k in (0, 1)), strict=True), batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            made = []
+            for words in _scan(batch.column(4)):
+                shingles, first = _shingles(words, width)
+                made += [np.unique(shingles[x:y]) for x, y in zip(first[:-1], first[1:], strict=True)]
+            for key, n, s, found in zip(groups, nodes, marks, made, strict=True):
+                if key != current:
+                    yield from done()
+                    current, node, sent, sets = key, [], [], []
+                # Rows of one id and one text are one node.
+                if not node or (node[-1], sent[-1]) != (n, s):
+                    node.append(n)
+                    sent.append(s)
+                    sets.append(found)
+        yield from done()
+
+    ordered = rows.select("cluster", "block", "node", "sent", "text").repartition("cluster", "block").sortWithinPartitions("cluster", "block", "sent", "node")
+    return ordered.mapInArrow(run, "a bigint, b bigint")
+
+
+def _texts(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """``node``, ``cluster``, ``n_blocks`` and ``text`` of the rows whose id and words are those of a member."""
+    wanted = members.withColumnsRenamed({"_a": "wanted_a", "_b": "wanted_b"})
+    return _with_sequence(rows.join(wanted, "_id")).where("_a = wanted_a AND _b = wanted_b").select("node", "cluster", "n_blocks", "text")
+
+
+def _verified(rows: DataFrame, members: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Edges between members (``_id, _a, _b, node, cluster, n_blocks``) whose components are those of all similar pairs of a cluster."""
+
+    def placed(some: DataFrame) -> DataFrame:
+        return _texts(rows, some).withColumns({"block": F.pmod(F.xxhash64("node"), F.col("n_blocks")), "sent": F.lit(False)})
+
+    edges = pinned(_block_edges(placed(members.where("n_blocks = 1")), width, similarity))
+    large = members.where("n_blocks > 1")
+    if large.isEmpty():
+        return edges
+    big = pinned(placed(large))
+
+    def across(senders: DataFrame) -> DataFrame:
+        """``senders`` (``node``) against all blocks of their clusters."""
+        sent = big.join(senders, "node", "left_semi").withColumns({"block": F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_blocks") - 1)), "sent": F.lit(True)})
+        return pinned(_block_edges(big.unionByName(sent), width, similarity))
+
+    # Within blocks, then one text of each group of a block: mostly that makes the groups of a cluster one.
+    own = pinned(_block_edges(big, width, similarity))
+    own = own.unionByName(across(own.select(F.col("a").alias("node")).distinct()))
+    named = pinned(graph.components(own))
+    grouped = large.select("node", "cluster").join(named, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    largest = grouped.groupBy("cluster", "root").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
+    # Of two similar texts in different groups one is outside the largest.
+    rest = across(grouped.join(largest, "cluster").where("root <> largest").select("node"))
+    return edges.unionByName(own).unionByName(rest)
 
 
 def components(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, bits: int = CANDIDATE_BITS) -> DataFrame:
@@ -258,21 +312,22 @@ def components(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARI
     The one that stays has the smallest ``doc_id`` (a null is greater than any), then the smallest sequence hash.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("_id"), "text")
-    seen = _with_sequence(rows, fingerprint=True).groupBy("_id", "_a", "_b").agg(F.first("_fp").alias("fp"), F.count("*").alias("n_rows"))
-    seen = pinned(seen)
-    # One node for each word sequence; its number is unique to it.
-    node = F.xxhash64("_a", "_b")
-    nodes = pinned(seen.groupBy("_a", "_b").agg(F.min("_id").alias("least"), F.first("fp").alias("fp")).withColumn("node", node))
+    scanned = pinned(_with_sequence(rows, width))
+    seen = pinned(scanned.groupBy("_id", "_a", "_b").agg(F.count("*").alias("n_rows"), F.first("_n").alias("n"), F.first("_fp").alias("fp")))
+    # One node for each word sequence. Numbers are given once, as the table is written.
+    grouped = seen.groupBy("_a", "_b").agg(F.min("_id").alias("least"), F.first("fp").alias("fp"), F.first("n").alias("n"))
+    nodes = pinned(grouped.withColumn("node", F.monotonically_increasing_id()))
     near = fuzzy_edges(pinned(nodes.select("fp").distinct()), _pair_keys, 85, bits)
-    stars = graph.components(near.unionByName(_band_edges(rows, nodes.count(), width)))
-    clusters = nodes.join(stars.withColumnRenamed("node", "fp"), "fp", "left").withColumn("cluster", F.coalesce("root", "fp"))
+    stars = graph.components(near.unionByName(_band_edges(scanned, nodes.count())))
+    clusters = stars.withColumnRenamed("node", "fp").withColumnRenamed("root", "cluster")
+    # All nodes of one fingerprint are of one cluster, which has its own number where nothing else is linked to it.
+    clusters = pinned(nodes.join(clusters, "fp", "left").withColumn("cluster", F.coalesce("cluster", "fp")))
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("k"), F.sum("n").alias("words")).where("k > 1")
+    n_blocks = F.ceil(F.greatest(F.col("k") / BLOCK_DOCS, F.col("words") / BLOCK_SHINGLES))
     # Written before the join, so that the join is all there is after its exchanges, and a large cluster can be split.
-    sizes = pinned(clusters.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1"))
-    members = clusters.join(sizes, "cluster").select(F.col("least").alias("_id"), "_a", "_b", "node", "cluster", F.ceil(F.col("n") / BLOCK_DOCS).alias("n_blocks"))
-    members = pinned(members)
-    texts = rows.join(members, "_id").select("text", "_a", "_b", "node", "cluster", "n_blocks")
-    sets = _shingle_sets(texts, width).dropDuplicates(["node"])
-    linked = graph.components(_verified_edges(sets, similarity)).withColumnRenamed("root", "group")
+    sizes = pinned(sizes.select("cluster", F.greatest(F.least(n_blocks, "k"), F.lit(1)).cast("bigint").alias("n_blocks")))
+    members = pinned(clusters.join(sizes, "cluster").select(F.col("least").alias("_id"), "_a", "_b", "node", "cluster", "n_blocks"))
+    linked = graph.components(_verified(rows, members, width, similarity)).withColumnRenamed("root", "group")
     grouped = nodes.join(linked, "node", "left").withColumn("group", F.coalesce("group", "node"))
     first = grouped.groupBy("group").agg(F.min(F.struct("least", "_a", "_b")).alias("stays"))
     named = grouped.join(first, "group").select("_a", "_b", "stays")
@@ -290,7 +345,7 @@ def keep_one(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY
     found = pinned(components(docs, width, similarity, bits))
     gone = found.where("NOT kept").select("_id", "_a", "_b")
     given = boxed(docs, "doc_id", "text").withColumn("_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)))
-    left = _with_sequence(given, fingerprint=False).join(gone, ["_id", "_a", "_b"], "left_anti")
+    left = _with_sequence(given).join(gone, ["_id", "_a", "_b"], "left_anti")
     repeated = found.where("kept AND n_rows > 1").select("_id", "_a", "_b")
     if not repeated.isEmpty():
         left = left.join(repeated, ["_id", "_a", "_b"], "left_anti").unionByName(

@@ -29,6 +29,8 @@ MAX_BITS = 4
 SHORT_RUN = 8
 #: Fingerprints whose keys are made and packed together.
 KEYED_ROWS = 4_096
+#: Fingerprints dealt to a task that makes keys.
+SPREAD_ROWS = 8_192
 
 
 def shingle_hashes(texts: pa.Array, width: int, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -37,17 +39,8 @@ def shingle_hashes(texts: pa.Array, width: int, seed: int) -> Iterator[tuple[np.
     digest = xxhash.xxh64_intdigest
     for low, high in chunks(offsets):
         words = Words(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], NOT_SPACE)
-        # Each word and one space after it, so that a shingle is one slice.
-        size = words.end - words.start + 1
-        at = np.zeros(len(words) + 1, np.int64)
-        np.cumsum(size, out=at[1:])
-        packed = np.full(at[-1], 32, np.uint8)
-        source = np.repeat(words.start - at[:-1], size) + np.arange(at[-1])
-        letters = np.ones(at[-1], bool)
-        letters[at[1:] - 1] = False
-        packed[letters] = words.data[source[letters]]
+        raw, at = words.spaced()
         start, count = words.run_starts(width, whole=True)
-        raw = packed.tobytes()
         pairs = zip(at[start].tolist(), (at[start + count] - 1).tolist(), strict=True)
         hashes = np.fromiter((digest(raw[a:b], seed) for a, b in pairs), np.uint64, len(start))
         yield hashes, np.searchsorted(start, words.first)
@@ -153,12 +146,36 @@ def run_edges(key: np.ndarray, fp: np.ndarray, bits: int) -> Iterator[tuple[np.n
         yield _long_run_edges(fp[start[at] : start[at] + size[at]], bits)
 
 
+def keyed_rows(key: np.ndarray, buckets: int, **values: np.ndarray) -> pa.RecordBatch:
+    """Keys and what goes with them, in order of the keys, as one row of blobs for each bucket."""
+    edges = shards.split_sorted(key, buckets)
+    full = np.flatnonzero(np.diff(edges))
+    parts = [slice(edges[b], edges[b + 1]) for b in full]
+    columns = [pa.array(full.astype(np.int32)), pa.array([p.stop - p.start for p in parts], pa.int64()), pa.array([shards.pack_sorted(key[p]) for p in parts], pa.binary())]
+    columns += [pa.array([np.ascontiguousarray(v[p]).tobytes() for p in parts], pa.binary()) for v in values.values()]
+    return pa.RecordBatch.from_arrays(columns, ["bucket", "size", "keys", *values])
+
+
+def keyed_values(rows: pa.Table, *names: str) -> list[np.ndarray]:
+    """The keys of a bucket and the values of some columns of 64-bit numbers, in order of rows."""
+    size = rows.column("size").to_pylist()
+    key = np.concatenate([shards.unpack_sorted(k.as_py(), n) for k, n in zip(rows.column("keys"), size, strict=True)])
+    return [key, *(np.frombuffer(b"".join(rows.column(c).to_pylist()), np.uint64) for c in names)]
+
+
+def spread(rows: DataFrame, count: int) -> DataFrame:
+    """``rows`` dealt out evenly, some thousand to a task, before each of them is made into many keys."""
+    return rows.repartition(max(1, min(-(-count // SPREAD_ROWS), 1 << 16)))
+
+
 def fuzzy_edges(distinct: DataFrame, keys_of: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], per_row: int, bits: int) -> DataFrame:
     """Edges ``a``, ``b`` between distinct fingerprints ``fp`` that share a key of ``keys_of`` and differ in ``bits`` or fewer.
 
     Keys travel as blobs, one row for each bucket of a few thousand fingerprints; ``per_row`` is about how many keys one has.
+    A bucket gives the components of what it links as star edges.
     """
-    buckets = shards.buckets_for(distinct.count() * per_row * 16)
+    count = distinct.count()
+    buckets = shards.buckets_for(count * per_row * 16)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,32 +185,21 @@ def fuzzy_edges(distinct: DataFrame, keys_of: Callable[[np.ndarray], tuple[np.nd
                 row, key = keys_of(fp)
                 key = mix(key)
                 order = np.argsort(key)
-                key, row = key[order], row[order]
-                edges = shards.split_sorted(key, buckets)
-                full = np.flatnonzero(np.diff(edges))
-                parts = [slice(edges[b], edges[b + 1]) for b in full]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(full.astype(np.int32)),
-                        pa.array([p.stop - p.start for p in parts], pa.int64()),
-                        pa.array([key[p].tobytes() for p in parts], pa.binary()),
-                        pa.array([fp[row[p]].tobytes() for p in parts], pa.binary()),
-                    ],
-                    ["bucket", "size", "keys", "fps"],
-                )
+                yield keyed_rows(key[order], buckets, fps=fp[row[order]])
 
     def link(_: int, rows: pa.Table) -> Iterator[dict]:
-        key, fp = (np.frombuffer(b"".join(rows.column(c).to_pylist()), np.uint64) for c in ("keys", "fps"))
+        key, fp = keyed_values(rows, "fps")
         order = np.argsort(key)
         key, fp = key[order], fp[order]
         # A key of one fingerprint, as most are, links nothing.
         again = key[1:] == key[:-1]
         keep = np.concatenate([again, [False]]) | np.concatenate([[False], again])
         pairs = [np.stack(x) for x in run_edges(key[keep], fp[keep], bits)]
-        if pairs and (found := np.unique(np.concatenate(pairs, axis=1), axis=1)).size:
-            yield {"a": found[0].view(np.int64), "b": found[1].view(np.int64)}
+        if pairs and (found := np.concatenate(pairs, axis=1)).size:
+            a, b = graph.stars(*found)
+            yield {"a": a.view(np.int64), "b": b.view(np.int64)}
 
-    keys = distinct.select("fp").mapInArrow(emit, "bucket int, size bigint, keys binary, fps binary")
+    keys = spread(distinct.select("fp"), count).mapInArrow(emit, "bucket int, size bigint, keys binary, fps binary")
     return shards.each_bucket(keys, link, "a bigint, b bigint").distinct()
 
 

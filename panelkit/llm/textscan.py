@@ -1,7 +1,8 @@
 """Vectorised word scanning over Arrow string columns.
 
-One pass of NumPy over the UTF-8 bytes of a chunk of documents finds the words,
-a rolling sum gives each word and each run of consecutive words a 64-bit hash.
+One pass of NumPy over the UTF-8 bytes of a chunk of documents finds the words;
+each word and each run of consecutive words gets a 64-bit hash. The hashes only
+find candidates: what they are equal for is compared before anything depends on it.
 Nothing here depends on Spark; operators call it from ``mapInArrow``.
 """
 
@@ -77,11 +78,25 @@ class Words:
         return len(self.start)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
+        """A 64-bit hash of each word: a sum of mixed numbers of byte and place, so that no order of letters cancels out."""
+        place = np.zeros(len(self.data), np.int64)
+        place[self.start] = self.start
+        place = np.arange(len(self.data)) - np.maximum.accumulate(place) if len(place) else place
         sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers(len(self.data)), out=sums[1:])
-        value = (sums[self.end] - sums[self.start]) * inverse_powers(len(self.data) + 1)[self.start]
-        return mix(value)
+        np.cumsum(mix((place.astype(np.uint64) << np.uint64(8)) + self.data + np.uint64(1)), out=sums[1:])
+        return mix(sums[self.end] - sums[self.start] + (self.end - self.start).astype(np.uint64))
+
+    def spaced(self) -> tuple[bytes, np.ndarray]:
+        """The words, each with one space after it, and where each begins in that; n+1 places."""
+        size = self.end - self.start + 1
+        at = np.zeros(len(self) + 1, np.int64)
+        np.cumsum(size, out=at[1:])
+        packed = np.full(at[-1], 32, np.uint8)
+        source = np.repeat(self.start - at[:-1], size) + np.arange(at[-1])
+        letters = np.ones(at[-1], bool)
+        letters[at[1:] - 1] = False
+        packed[letters] = self.data[source[letters]]
+        return packed.tobytes(), at
 
     def docs(self) -> np.ndarray:
         """The document index of each word."""
@@ -102,19 +117,24 @@ class Words:
 
 
 def run_hashes(word_hash: np.ndarray, start: np.ndarray, size) -> np.ndarray:
-    """A 64-bit hash of each run of words, from the hashes of the words."""
-    sums = np.zeros(len(word_hash) + 1, np.uint64)
-    np.cumsum(word_hash * powers(len(word_hash)), out=sums[1:])
-    return mix((sums[start + size] - sums[start]) * inverse_powers(len(word_hash) + 1)[start])
+    """A 64-bit hash of each run of words, from the hashes of the words, taken in one after the other."""
+    size = np.broadcast_to(np.asarray(size, np.int64), np.shape(start))
+    out = mix(size.astype(np.uint64))
+    least = int(size.min()) if len(size) else 0
+    for k in range(int(size.max(initial=0))):
+        on = slice(None) if k < least else np.flatnonzero(size > k)
+        value = (out[on] ^ word_hash[start[on] + k]) * np.uint64(_BASE)
+        out[on] = value ^ (value >> np.uint64(29))
+    return mix(out)
 
 
 def mix(value: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every input bit."""
     value = value ^ (value >> np.uint64(32))
-    value = value * np.uint64(0xD6E8FEB86659FD93)
-    value = value ^ (value >> np.uint64(32))
-    value = value * np.uint64(0xD6E8FEB86659FD93)
-    return value ^ (value >> np.uint64(32))
+    for _ in range(2):
+        value *= np.uint64(0xD6E8FEB86659FD93)
+        value ^= value >> np.uint64(32)
+    return value
 
 
 _TABLES: dict[int, np.ndarray] = {}
