@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,12 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete what nothing refers to any more, as shuffle files whose result is pinned; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def boxed(docs: DataFrame, *kept: str) -> DataFrame:
     """``docs`` with numbered columns, but for the kept ones, so that no name of its own gets in the way."""
     return docs.select(*(F.col(f"`{c}`").alias(c if c in kept else f"_c{i}") for i, c in enumerate(docs.columns)))

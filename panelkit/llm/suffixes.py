@@ -1,12 +1,18 @@
 """Removal of repeated byte strings by distributed prefix doubling.
 
-First a sieve: the least hash of the short substrings of a window is the same in
-equal windows, so windows whose least hash no other document has are unique and
-leave. The positions that remain get ranks of their 8-byte prefixes, and rounds
-at offsets 8, 16 and 18 sort pairs of ranks and rerank them for prefixes of 16,
-32 and 50 bytes. A position leaves as soon as its prefix occurs in one document
-only. Pairs travel as sorted runs, one row for each shard and bucket, each
-distinct pair of a shard once.
+Two exact steps make the work smaller first. A sieve: the least hash of the short
+substrings of a window is the same in equal windows, so windows whose least hash
+no other document has are unique and leave. Then stretches of the windows that
+remain are cut into chunks where their content says so; of equal chunks (with the
+bytes that their last windows reach) only those of the smallest document are
+ranked, as all windows of the others also start there.
+
+The positions of these get ranks of their 8-byte prefixes, and rounds at offsets
+8, 16 and 18 sort pairs of ranks and rerank them for prefixes of 16, 32 and 50
+bytes. A position leaves as soon as its prefix occurs once. Pairs travel packed,
+one row for each shard and bucket, each distinct pair of a shard once. Buckets are
+chosen by the least hash within the prefix and ranks are given in order of
+appearance, so that neighbours mostly stay neighbours and pack well.
 """
 
 from __future__ import annotations
@@ -20,12 +26,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelkit.llm import shards as S
-from panelkit.llm.shared import pinned
+from panelkit.llm.shared import pinned, release
 from panelkit.llm.textscan import inverse_powers, mix, powers
 
 LENGTH = 50
-#: Bytes of the substrings that the sieve hashes.
+#: Bytes of the substrings that the sieve hashes, and low bits of the hashes that are left out.
 SIEVE = 26
+_SIEVE_MASK = np.uint64(2**64 - 2**16)
+#: A chunk ends where the hash of this many bytes is a multiple of the next number, on average after so many windows; at the third at most.
+CUT_BYTES, CUT_MEAN, CUT_MOST = 16, 32, 256
+#: Positions that are hashed together.
+_BLOCK = 1 << 16
 _NONE = np.iinfo(np.int64).max
 _RANKED = 40
 
@@ -41,17 +52,22 @@ def rounds_for(length: int) -> list[int]:
     return offsets
 
 
-def _least_hashes(data: np.ndarray, length: int, sieve: int) -> np.ndarray:
-    """For each position the least hash of the ``sieve``-byte substrings of the ``length`` bytes from there."""
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data)), out=sums[1:])
-    low = mix((sums[sieve:] - sums[:-sieve]) * inverse_powers(len(data) + 1)[: len(sums) - sieve])
-    width, have = length - sieve + 1, 1
-    while have < width:
-        step = min(have, width - have)
-        low = np.minimum(low[:-step], low[step:])
-        have += step
-    return low
+def _least_hashes(data: np.ndarray, length: int, part: int) -> np.ndarray:
+    """For each position the least hash of the ``part``-byte substrings of the ``length`` bytes from there."""
+    n = len(data) - length + 1
+    out = np.zeros(max(n, 0), np.uint64)
+    for at in range(0, n, _BLOCK):
+        own = data[at : at + _BLOCK + length - 1]
+        sums = np.zeros(len(own) + 1, np.uint64)
+        np.cumsum((own.astype(np.uint64) + np.uint64(1)) * powers(len(own)), out=sums[1:])
+        low = mix((sums[part:] - sums[:-part]) * inverse_powers(len(own) + 1)[: len(sums) - part])
+        width, have = length - part + 1, 1
+        while have < width:
+            step = min(have, width - have)
+            low = np.minimum(low[:-step], low[step:])
+            have += step
+        out[at : at + _BLOCK] = low
+    return out
 
 
 def _windows(offsets: np.ndarray, length: int) -> np.ndarray:
@@ -64,19 +80,18 @@ def _windows(offsets: np.ndarray, length: int) -> np.ndarray:
     return np.cumsum(edge)[:-1] > 0
 
 
-def _distinct(values: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct values, the place of each value among them, and whether each has two owners or more."""
-    order = np.argsort(values, kind="stable")
-    ranked = values[order]
-    start = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(values) else np.zeros(0, np.int64)
-    place = np.empty(len(values), np.int64)
-    place[order] = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(values))))
-    own = owner[order]
-    return ranked[start], place, _spread(own, start)
+def _heads(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    n = len(columns[0])
+    head = np.zeros(n, bool)
+    head[:1] = True
+    for c in columns:
+        head[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(head)
 
 
-def _spread(own: np.ndarray, start: np.ndarray) -> np.ndarray:
-    return np.minimum.reduceat(own, start) != np.maximum.reduceat(own, start) if len(start) else np.zeros(0, bool)
+def _sizes(heads: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.append(heads, n))
 
 
 class _Sieve:
@@ -84,264 +99,425 @@ class _Sieve:
 
     def __init__(self, blob: bytes, length: int, sieve: int):
         self.keys, self.data, self.offsets = S.open_shard(blob)
-        self.at = np.zeros(0, np.int64)
-        if len(self.data) >= length:
-            self.at = np.flatnonzero(_windows(self.offsets, length))
-        values = _least_hashes(self.data, length, sieve)[self.at] if len(self.at) else np.zeros(0, np.uint64)
+        self.at = np.flatnonzero(_windows(self.offsets, length))
+        values = _least_hashes(self.data, length, sieve)[self.at] & _SIEVE_MASK if len(self.at) else np.zeros(0, np.uint64)
         self.owner = np.searchsorted(self.offsets, self.at, "right") - 1
         # Neighbouring windows mostly share their least hash: runs of it are sorted, not windows.
-        head = np.concatenate([[True], (values[1:] != values[:-1]) | (self.owner[1:] != self.owner[:-1])]) if len(values) else np.zeros(0, bool)
-        self.run = np.cumsum(head) - 1
-        self.values, self.place, self.shared = _distinct(values[head], self.owner[head])
-
-
-def _send(shard: int, values: np.ndarray, shared: np.ndarray, buckets: int) -> dict:
-    rows: dict[str, list] = {k: [] for k in ("bucket", "shard", "size", "values", "shared")}
-    edges = S.split_sorted(values, buckets)
-    for b in np.flatnonzero(np.diff(edges)):
-        part = slice(edges[b], edges[b + 1])
-        for k, v in zip(rows, (int(b), shard, int(edges[b + 1] - edges[b]), S.pack_sorted(values[part]), S.deflate(np.packbits(shared[part]))), strict=True):
-            rows[k].append(v)
+        heads = _heads(values, self.owner)
+        self.run = np.repeat(np.arange(len(heads)), _sizes(heads, len(values)))
+        values, owner = values[heads], self.owner[heads]
+        order = np.argsort(values, kind="stable")
+        ranked, own = values[order], owner[order]
+        start = _heads(ranked)
+        self.values = ranked[start]
+        self.place = np.empty(len(values), np.int64)
+        self.place[order] = np.repeat(np.arange(len(start)), _sizes(start, len(values)))
+        self.shared = np.minimum.reduceat(own, start) != np.maximum.reduceat(own, start) if len(start) else np.zeros(0, bool)
+
+
+def _listed(edges: np.ndarray, **columns) -> dict[str, list]:
+    """A row for each bucket that has values; ``columns`` make a value from the bucket's number and its slice."""
+    rows: dict[str, list] = {k: [] for k in columns}
+    for b in np.flatnonzero(np.diff(edges)).tolist():
+        part = slice(int(edges[b]), int(edges[b + 1]))
+        for k, make in columns.items():
+            rows[k].append(make(b, part))
     return rows
 
 
+def _bits(blob: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(S.inflate(blob, -(-n // 8), np.uint8))[:n].astype(bool)
+
+
+def _pack_bits(values: np.ndarray) -> bytes:
+    return S.deflate(np.packbits(values))
+
+
+def _residuals(values: np.ndarray, kind: str) -> np.ndarray:
+    """What is left of each number after a guess from the one before: the text one byte on, the next rank, or the same."""
+    out = values.astype(np.uint64)
+    before = out[:-1].copy()
+    out[1:] -= before << np.uint64(8) if kind == "text" else before + np.uint64(kind == "rank")
+    return out
+
+
+def _restored(x: np.ndarray, kind: str) -> np.ndarray:
+    if kind == "text":
+        out = x.copy()
+        for k in range(1, min(8, len(x))):
+            out[k:] += x[:-k] << np.uint64(8 * k)
+        return out
+    out = np.cumsum(x, dtype=np.uint64)
+    return out + np.arange(len(x), dtype=np.uint64) if kind == "rank" else out
+
+
+def _pack(values: np.ndarray, kind: str) -> bytes:
+    """Numbers in compressed byte planes of what a guess leaves."""
+    return S.deflate(_residuals(values, kind).astype(">u8").view(np.uint8).reshape(-1, 8).T)
+
+
+def _unpack(blob: bytes, n: int, kind: str) -> np.ndarray:
+    planes = S.inflate(blob, n * 8, np.uint8).reshape(8, n)
+    return _restored(np.ascontiguousarray(planes.T).view(">u8").ravel().astype(np.uint64), kind)
+
+
 def _column(rows: pa.Table, name: str) -> np.ndarray:
     return rows.column(name).to_numpy()
 
 
-def _bits(blob: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(S.inflate(blob, -(-n // 8), np.uint8))[:n].astype(bool)
+def _gathered(rows: pa.Table, name: str, read, *rest) -> np.ndarray:
+    """A column of blobs of all rows, one after the other."""
+    size = rows.column("size").to_pylist()
+    return np.concatenate([read(v.as_py(), n, *rest) for v, n in zip(rows.column(name), size, strict=True)])
 
 
-def _answer_sieve(bucket: int, rows: pa.Table) -> Iterator[dict]:
+def _answers(bucket: int, rows: pa.Table, values: np.ndarray, pack, **more) -> dict:
     size = _column(rows, "size")
-    parts = [S.unpack_sorted(v.as_py(), n) for v, n in zip(rows.column("values"), size.tolist(), strict=True)]
-    marks = np.concatenate([_bits(v.as_py(), n) for v, n in zip(rows.column("shared"), size.tolist(), strict=True)])
-    order = np.argsort(every := np.concatenate(parts), kind="stable")
-    ranked = every[order]
-    start = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-    count = np.diff(np.append(start, len(every)))
-    good = np.empty(len(every), bool)
-    good[order] = np.repeat((count > 1) | np.logical_or.reduceat(marks[order], start), count)
     edges = np.concatenate([[0], np.cumsum(size)])
-    yield {
+    return {
         "shard": _column(rows, "shard"),
         "bucket": np.full(len(size), bucket),
         "size": size,
-        "answer": [S.deflate(np.packbits(good[a:b])) for a, b in zip(edges[:-1], edges[1:], strict=True)],
-    }
+        "answer": [pack(values[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)],
+    } | more
+
+
+_ANSWER = "shard bigint, bucket int, size bigint, answer binary"
+
+
+def _answer_sieve(bucket: int, rows: pa.Table) -> Iterator[dict]:
+    """Whether each hash comes from several documents."""
+    every, marks = _gathered(rows, "values", S.unpack_sorted), _gathered(rows, "shared", _bits)
+    order = np.argsort(every)
+    start = _heads(every[order])
+    count = _sizes(start, len(every))
+    good = np.empty(len(every), bool)
+    good[order] = np.repeat((count > 1) | np.logical_or.reduceat(marks[order], start), count)
+    yield _answers(bucket, rows, good, _pack_bits)
+
+
+def _stream(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
 
+def _read(blob: bytes) -> pa.Table:
+    return pa.ipc.open_stream(pa.BufferReader(blob)).read_all().combine_chunks()
 
-_STRETCHES = pa.schema([("row", pa.int64()), ("key", pa.int64()), ("start", pa.int64()), ("bytes", pa.large_binary())])
+
+def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of some strings one after the other and their n+1 offsets."""
+    return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
 
 
 def _stretches(found: _Sieve, good: np.ndarray, length: int) -> bytes:
-    """An Arrow stream of the maximal byte stretches of neighbouring windows that are left."""
+    """The maximal byte stretches of neighbouring windows that are left: ``row``, ``key``, ``start`` and ``bytes``."""
     at = found.at[good[found.place][found.run]] if len(found.at) else found.at
     owner = np.searchsorted(found.offsets, at, "right") - 1
-    head = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (owner[1:] != owner[:-1])])) if len(at) else np.zeros(0, np.int64)
+    head = _heads(at - np.arange(len(at)), owner)
     start = at[head]
-    stop = at[np.append(head[1:], len(at)) - 1] + length if len(at) else start
+    stop = start + _sizes(head, len(at)) + length - 1
     row = owner[head]
-    keys = found.keys.cast(pa.int64()).to_pylist()
     raw = found.data.tobytes()
-    made = pa.table(
-        {
-            "row": row,
-            "key": pa.array([keys[r] for r in row.tolist()], pa.int64()),
-            "start": start - found.offsets[row],
-            "bytes": pa.array([raw[a:b] for a, b in zip(start.tolist(), stop.tolist(), strict=True)], pa.large_binary()),
-        },
-        schema=_STRETCHES,
-    )
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, _STRETCHES, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-        writer.write_table(made)
-    return sink.getvalue().to_pybytes()
+    # A document without an id is greater than any.
+    keys = found.keys.cast(pa.int64()).fill_null(_NONE).to_numpy()
+    pieces = pa.array([raw[a:b] for a, b in zip(start.tolist(), stop.tolist(), strict=True)], pa.large_binary())
+    return _stream(pa.table({"row": row, "key": keys[row], "start": start - found.offsets[row], "bytes": pieces}))
 
 
-class _Ranks:
-    """Ranks of the prefixes of a shard's stretches, taken on round by round with the answers to the pairs it sent."""
+class _Chunks:
+    """The windows of a shard's stretches in chunks cut by content; equal chunks are one, of the smallest key that has it."""
 
-    def __init__(self, blob: bytes, length: int, buckets: int):
-        table = pa.ipc.open_stream(pa.BufferReader(blob)).read_all().combine_chunks()
-        self.buckets = buckets
+    def __init__(self, blob: bytes, length: int):
+        table = _read(blob)
         self.row, self.start = table.column("row").to_numpy(), table.column("start").to_numpy()
-        # A document without an id is smaller than none.
-        self.key = table.column("key").fill_null(_NONE).to_numpy()
-        texts = table.column("bytes").to_pylist()
-        self.offsets = np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        self.owner = np.repeat(np.arange(len(texts)), np.diff(self.offsets))
-        self.rank = np.zeros(len(data), np.uint64)
-        if len(data) >= 8:
-            whole = np.lib.stride_tricks.sliding_window_view(data, 8)
+        self.data, self.offsets = _joined(table.column("bytes").to_pylist())
+        at = np.flatnonzero(_windows(self.offsets, length))
+        owner = np.searchsorted(self.offsets, at, "right") - 1
+        head = np.zeros(len(at), bool)
+        head[_heads(owner)] = True
+        head |= _least_hashes(self.data, CUT_BYTES, CUT_BYTES)[at] % np.uint64(CUT_MEAN) == 0 if len(at) else head
+        place = np.arange(len(at))
+        head |= (place - np.maximum.accumulate(np.where(head, place, 0))) % CUT_MOST == 0
+        heads = np.flatnonzero(head)
+        self.first, self.size, self.owner = at[heads], _sizes(heads, len(at)), owner[heads]
+        self.key = table.column("key").to_numpy()[self.owner]
+        raw = self.data.tobytes()
+        stop = self.first + self.size + length - 1
+        digests = b"".join(hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(self.first.tolist(), stop.tolist(), strict=True))
+        high, low = np.frombuffer(digests, np.uint64).reshape(-1, 2).T
+        order = np.lexsort((self.key, low, high))
+        start = _heads(high[order], low[order])
+        self.best = order[start]
+        self.high, self.low, self.least = high[self.best], low[self.best], self.key[self.best]
+        self.place = np.empty(len(order), np.int64)
+        self.place[order] = np.repeat(np.arange(len(start)), _sizes(start, len(order)))
+
+
+def _answer_chunks(bucket: int, rows: pa.Table) -> Iterator[dict]:
+    """Whether each chunk is in a document of a smaller key than any of the asking shard."""
+    high, low, least = _gathered(rows, "high", S.unpack_sorted), _gathered(rows, "low", _unpack, "same"), _gathered(rows, "least", _unpack, "same").view(np.int64)
+    order = np.lexsort((low, high))
+    start = _heads(high[order], low[order])
+    out = np.empty(len(order), np.int64)
+    out[order] = np.repeat(np.minimum.reduceat(least[order], start), _sizes(start, len(order)))
+    yield _answers(bucket, rows, out < least, _pack_bits)
+
+
+def _collapsed(found: _Chunks, gone: np.ndarray, length: int) -> tuple[bytes, bytes, int]:
+    """What is to be ranked (``key`` and ``bytes`` of pieces), all chunks (``row``, ``key``, ``start``, ``size`` and ``at``, where among the
+    ranked bytes the windows of the chunk are, or -1 where all of them also start in a smaller document), and how many bytes."""
+    kept = np.sort(found.best[~gone])
+    first, size, owner = found.first[kept], found.size[kept], found.owner[kept]
+    # Neighbouring chunks are one piece.
+    apart = np.ones(len(kept), bool)
+    apart[1:] = (first[1:] != first[:-1] + size[:-1]) | (owner[1:] != owner[:-1])
+    head = np.flatnonzero(apart)
+    start = first[head]
+    stop = (first + size)[np.append(head[1:], len(kept)) - 1] + length - 1 if len(kept) else start
+    raw = found.data.tobytes()
+    texts = [raw[a:b] for a, b in zip(start.tolist(), stop.tolist(), strict=True)]
+    base = np.concatenate([[0], np.cumsum(stop - start)])
+    piece = np.cumsum(apart) - 1
+    at = np.full(len(found.first), -1, np.int64)
+    at[kept] = base[piece] + first - start[piece] if len(kept) else at[kept]
+    ranked = np.where(gone[found.place] | (found.key > found.least[found.place]), -1, at[found.best[found.place]]) if len(at) else at
+    pieces = pa.table({"key": found.key[kept][head], "bytes": pa.array(texts, pa.large_binary())})
+    chunks = {"row": found.row[found.owner], "key": found.key, "start": found.start[found.owner] + found.first - found.offsets[found.owner], "size": found.size, "at": ranked}
+    return _stream(pieces), _stream(pa.table(chunks)), int(base[-1])
+
+
+class _Ranks:
+    """Ranks of the prefixes of a shard's pieces, taken on round by round with the answers to the pairs it sent."""
+
+    def __init__(self, blob: bytes, buckets: int):
+        table = _read(blob)
+        self.buckets, self.key = buckets, table.column("key").to_numpy()
+        self.data, self.offsets = _joined(table.column("bytes").to_pylist())
+        self.owner = np.repeat(np.arange(len(self.key)), np.diff(self.offsets))
+        self.have = 8
+        self.rank = np.zeros(len(self.data), np.uint64)
+        if len(self.data) >= 8:
+            whole = np.lib.stride_tricks.sliding_window_view(self.data, 8)
             # Zero stands for no rank; a prefix of eight zero bytes gets the greatest number.
             value = np.ascontiguousarray(whole).view(">u8").ravel().astype(np.uint64)
             value[value == 0] = np.uint64(2**64 - 1)
             self.rank[: len(value)] = np.where(_windows(self.offsets, 8)[: len(value)], value, np.uint64(0))
 
     def pairs(self, offset: int) -> None:
-        """Distinct pairs of ranks at ``offset``, in order of bucket and pair, and the least document of each."""
+        """Distinct pairs of ranks at ``offset``, by bucket and in order of appearance."""
+        self.have += offset
         later = np.zeros_like(self.rank)
         if offset < len(self.rank):
             later[:-offset] = np.where(self.owner[:-offset] == self.owner[offset:], self.rank[offset:], np.uint64(0))
         self.at = np.flatnonzero((self.rank > 0) & (later > 0))
         a, b = self.rank[self.at], later[self.at]
-        bucket = (mix(a ^ mix(b)) >> np.uint64(64 - int(self.buckets).bit_length() + 1)).astype(np.int64)
-        order = np.lexsort((b, a, bucket))
-        a, b, bucket, key = a[order], b[order], bucket[order], self.key[self.owner[self.at[order]]]
-        head = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (bucket[1:] != bucket[:-1])])) if len(a) else np.zeros(0, np.int64)
+        value = mix(a ^ mix(b))
+        self.order = np.argsort(value)
+        start = _heads(value[self.order])
+        own_a, own_b = a[self.order], b[self.order]
+        if len(_heads(own_a, own_b)) != len(start):
+            # Different pairs of one hash: sort by the pairs themselves.
+            self.order = np.lexsort((b, a))
+            own_a, own_b = a[self.order], b[self.order]
+            start = _heads(own_a, own_b)
+        self.start, count = start, _sizes(start, len(a))
+        first = np.minimum.reduceat(self.order, start) if len(start) else start
+        least = _least_hashes(self.data, self.have, self.have * 13 // 16)[self.at[first]] if len(first) else np.zeros(0, np.uint64)
+        bucket = mix(least) >> np.uint64(64 - int(self.buckets).bit_length() + 1)
+        bucket = bucket.astype(np.uint16 if self.buckets <= 1 << 16 else np.int64)
+        by_place = np.argsort(first)
+        listed = by_place[np.argsort(bucket[by_place], kind="stable")]
+        new = np.empty(len(listed), np.int64)
+        new[listed] = np.arange(len(listed))
         self.place = np.empty(len(a), np.int64)
-        self.place[order] = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(a))))
-        self.first, self.second, self.bucket = a[head], b[head], bucket[head]
-        self.least = np.minimum.reduceat(key, head) if len(head) else key
-        # Two rows of one document are one document.
-        self.most = np.maximum.reduceat(key, head) if len(head) else key
-
-    def sent(self, shard: int) -> dict:
-        rows: dict[str, list] = {k: [] for k in ("bucket", "shard", "size", "first", "second", "least", "shared")}
-        edges = np.searchsorted(self.bucket, np.arange(self.buckets + 1))
-        for k in np.flatnonzero(np.diff(edges)):
-            part = slice(edges[k], edges[k + 1])
-            made = (int(k), shard, int(edges[k + 1] - edges[k]), S.pack_sorted(self.first[part]), S.deflate(_planes(self.second[part])), S.deflate(_planes(self.least[part].view(np.uint64))), S.deflate(np.packbits(self.least[part] != self.most[part])))
-            for name, v in zip(rows, made, strict=True):
-                rows[name].append(v)
-        return rows
-
-    def take(self, answer: np.ndarray) -> np.ndarray:
-        """The answers to the pairs, put at their positions."""
+        self.place[self.order] = np.repeat(new, count)
+        self.listed, self.first, self.second, self.many = listed, a[first[listed]], b[first[listed]], (count > 1)[listed]
+        self.edges = np.searchsorted(bucket[listed], np.arange(self.buckets + 1))
+
+    def sent(self, shard: int, kind: str, last: bool) -> dict:
+        keys = self.key[self.owner[self.at[self.order]]] if last else np.zeros(0, np.int64)
+        least = np.minimum.reduceat(keys, self.start)[self.listed].view(np.uint64) if last and len(keys) else keys.view(np.uint64)
+        return _listed(
+            self.edges,
+            bucket=lambda k, p: k,
+            shard=lambda k, p: shard,
+            size=lambda k, p: p.stop - p.start,
+            first=lambda k, p: _pack(self.first[p], kind),
+            second=lambda k, p: _pack(self.second[p], kind),
+            # The smallest document counts in the last round alone; before, whether the shard has the pair more than once.
+            rest=lambda k, p: _pack(least[p], "same") if last else _pack_bits(self.many[p]),
+        )
+
+    def answered(self, rows: pa.Table, k: int, kind: str) -> np.ndarray:
+        """The answers of round ``k`` to the pairs, put at their positions."""
+        own = rows.filter(pa.compute.equal(rows.column("round"), k)).sort_by("bucket")
+        found = [np.zeros(0, np.uint64)]
+        for blob, n, b in zip(own.column("answer"), own.column("size").to_pylist(), own.column("bucket").to_pylist(), strict=True):
+            value = _unpack(blob.as_py(), n, kind)
+            found.append(np.where(value > 0, value + (np.uint64(b) << np.uint64(_RANKED)), value) if kind == "rank" else value)
+        answer = np.concatenate(found)
         if len(answer) != len(self.first):
             raise ValueError("a shard did not get the ranks it asked for")
-        out = np.zeros(len(self.rank), answer.dtype)
-        out[self.at] = answer[self.place] if len(answer) else 0
-        return out
+        return answer[self.place]
 
+    def take(self, rows: pa.Table, k: int) -> None:
+        answer = self.answered(rows, k, "rank")
+        self.rank = np.zeros(len(self.data), np.uint64)
+        self.rank[self.at] = answer
 
-def _planes(values: np.ndarray) -> np.ndarray:
-    return values.astype(">u8").view(np.uint8).reshape(-1, 8).T
 
-
-def _from_planes(blob: bytes, n: int) -> np.ndarray:
-    planes = S.inflate(blob, n * 8, np.uint8).reshape(8, n)
-    return np.ascontiguousarray(planes.T).view(">u8").ravel().astype(np.uint64)
-
-
-def _rerank(last: bool):
+def _rerank(kind: str, last: bool):
     def answer(bucket: int, rows: pa.Table) -> Iterator[dict]:
-        """New ranks of the pairs in order, or, in the last round, the least document of each; 0 or none for one document only."""
-        size = _column(rows, "size").tolist()
-        first = np.concatenate([S.unpack_sorted(v.as_py(), n) for v, n in zip(rows.column("first"), size, strict=True)])
-        second, least = (np.concatenate([_from_planes(v.as_py(), n) for v, n in zip(rows.column(c), size, strict=True)]) for c in ("second", "least"))
-        least = least.view(np.int64)
-        marks = np.concatenate([_bits(v.as_py(), n) for v, n in zip(rows.column("shared"), size, strict=True)])
-        order = np.lexsort((second, first))
-        a, b = first[order], second[order]
-        start = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-        count = np.diff(np.append(start, len(a)))
-        low = np.minimum.reduceat(least[order], start)
-        several = np.logical_or.reduceat(marks[order], start) | (low != np.maximum.reduceat(least[order], start))
+        """New ranks of the pairs in order of appearance, 0 for a pair there is once; in the last round the least document of each."""
+        a, b = _gathered(rows, "first", _unpack, kind), _gathered(rows, "second", _unpack, kind)
+        value = mix(a ^ mix(b))
+        order = np.argsort(value)
+        start = _heads(value[order])
+        if len(_heads(a[order], b[order])) != len(start):
+            order = np.lexsort((b, a))
+            start = _heads(a[order], b[order])
+        count = _sizes(start, len(a))
         if last:
-            given = np.where(several, low, _NONE).view(np.uint64)
+            least = _gathered(rows, "rest", _unpack, "same").view(np.int64)
+            given = np.minimum.reduceat(least[order], start).view(np.uint64)
         else:
-            given = np.where(several, (np.uint64(bucket) << np.uint64(_RANKED)) + np.arange(1, len(start) + 1).astype(np.uint64), np.uint64(0))
+            several = (count > 1) | np.logical_or.reduceat(_gathered(rows, "rest", _bits)[order], start)
+            seen = np.minimum.reduceat(order, start)
+            numbered = np.zeros(len(start), np.uint64)
+            by_place = np.argsort(seen)
+            by_place = by_place[several[by_place]]
+            numbered[by_place] = np.arange(1, len(by_place) + 1, dtype=np.uint64)
+            given = numbered
         out = np.empty(len(a), np.uint64)
         out[order] = np.repeat(given, count)
-        edges = np.concatenate([[0], np.cumsum(size)])
-        yield {
-            "shard": _column(rows, "shard"),
-            "bucket": np.full(len(size), bucket),
-            "size": np.array(size),
-            "answer": [S.deflate(_planes(out[x:y])) for x, y in zip(edges[:-1], edges[1:], strict=True)],
-        }
+        yield _answers(bucket, rows, out, lambda x: _pack(x, "same" if last else "rank"))
 
     return answer
 
 
-_ANSWER = "shard bigint, bucket int, size bigint, answer binary"
-
-
-def repeated_spans(packed: DataFrame, length: int = LENGTH, sieve: int = SIEVE) -> DataFrame:
-    """Per shard of ``packed``: ``spans``, an Arrow stream of ``row``, ``start`` and ``end`` of the byte runs covered by
-    ``length``-byte strings that also start in a document of a smaller key."""
+def _sieved(packed: DataFrame, length: int, sieve: int) -> DataFrame:
+    """Per shard ``state``, the stretches of windows that may repeat."""
     n_bytes = packed.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = S.buckets_for(n_bytes // 2)
 
     def ask(shard: int, _: int, blob: bytes) -> Iterator[dict]:
         found = _Sieve(blob, length, sieve)
-        yield _send(shard, found.values, found.shared, buckets)
-
-    asked = S.each_shard(packed, ask, "bucket int, shard bigint, size bigint, values binary, shared binary")
-    answered = S.each_bucket(asked, _answer_sieve, _ANSWER)
+        yield _listed(
+            S.split_sorted(found.values, buckets),
+            bucket=lambda k, p: k,
+            shard=lambda k, p: shard,
+            size=lambda k, p: p.stop - p.start,
+            values=lambda k, p: S.pack_sorted(found.values[p]),
+            shared=lambda k, p: _pack_bits(found.shared[p]),
+        )
 
     def narrow(left: pa.Table, right: pa.Table) -> pa.Table:
         found = _Sieve(left.column("blob")[0].as_py(), length, sieve)
-        got = right.sort_by("bucket")
-        good = np.concatenate([np.zeros(0, bool), *(_bits(v.as_py(), n) for v, n in zip(got.column("answer"), got.column("size").to_pylist(), strict=True))])
+        good = np.concatenate([np.zeros(0, bool), _gathered(right.sort_by("bucket"), "answer", _bits)]) if right.num_rows else np.zeros(0, bool)
         return pa.table({"shard": left.column("shard"), "state": pa.array([_stretches(found, good, length)], pa.binary())})
 
-    state = pinned(packed.groupBy("shard").cogroup(answered.groupBy("shard")).applyInArrow(narrow, "shard bigint, state binary"))
+    asked = S.each_shard(packed, ask, "bucket int, shard bigint, size bigint, values binary, shared binary")
+    answered = S.each_bucket(asked, _answer_sieve, _ANSWER)
+    return pinned(packed.groupBy("shard").cogroup(answered.groupBy("shard")).applyInArrow(narrow, "shard bigint, state binary"))
+
+
+def _chunked(state: DataFrame, length: int) -> DataFrame:
+    """Per shard ``pieces``, what is to be ranked, ``chunks``, all chunks, and ``n_bytes`` of the pieces."""
     n_bytes = state.agg(F.sum(F.length("state"))).first()[0] or 0
-    # A compressed byte is a few positions of some sixteen bytes each.
-    buckets = S.buckets_for(n_bytes * 32)
+    buckets = S.buckets_for(n_bytes * 2)
+
+    def ask(shard: int, blob: bytes) -> Iterator[dict]:
+        found = _Chunks(blob, length)
+        yield _listed(
+            S.split_sorted(found.high, buckets),
+            bucket=lambda k, p: k,
+            shard=lambda k, p: shard,
+            size=lambda k, p: p.stop - p.start,
+            high=lambda k, p: S.pack_sorted(found.high[p]),
+            low=lambda k, p: _pack(found.low[p], "same"),
+            least=lambda k, p: _pack(found.least[p].view(np.uint64), "same"),
+        )
+
+    def collapse(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = _Chunks(left.column("state")[0].as_py(), length)
+        gone = _gathered(right.sort_by("bucket"), "answer", _bits) if right.num_rows else np.zeros(0, bool)
+        pieces, chunks, n = _collapsed(found, gone, length)
+        return pa.table({"shard": left.column("shard"), "pieces": pa.array([pieces], pa.binary()), "chunks": pa.array([chunks], pa.binary()), "n_bytes": pa.array([n], pa.int64())})
+
+    asked = S.each_shard(state, ask, "bucket int, shard bigint, size bigint, high binary, low binary, least binary")
+    answered = S.each_bucket(asked, _answer_chunks, _ANSWER)
+    schema = "shard bigint, pieces binary, chunks binary, n_bytes bigint"
+    return pinned(state.groupBy("shard").cogroup(answered.groupBy("shard")).applyInArrow(collapse, schema))
+
+
+def repeated_spans(packed: DataFrame, length: int = LENGTH, sieve: int = SIEVE) -> DataFrame:
+    """Per shard of ``packed``: ``spans``, an Arrow stream of ``row``, ``start`` and ``end`` of the byte runs covered by
+    ``length``-byte strings that also start in a document of a smaller key."""
+    session = packed.sparkSession
+    state = _sieved(packed, length, sieve)
+    release(session)
+    state = _chunked(state, length)
+    release(session)
+    # Pairs of two numbers, and the smallest document in the last round.
+    buckets = S.buckets_for((state.agg(F.sum("n_bytes")).first()[0] or 0) * 20)
     offsets = rounds_for(length)
     answers: DataFrame | None = None
 
     def ranked(blob: bytes, got: pa.Table | None, upto: int) -> _Ranks:
-        ranks = _Ranks(blob, length, buckets)
+        ranks = _Ranks(blob, buckets)
         for k in range(upto):
             ranks.pairs(offsets[k])
-            own = got.filter(pa.compute.equal(got.column("round"), k)).sort_by("bucket")
-            ranks.rank = ranks.take(np.concatenate([np.zeros(0, np.uint64), *(_from_planes(v.as_py(), n) for v, n in zip(own.column("answer"), own.column("size").to_pylist(), strict=True))]))
+            ranks.take(got, k)
+        ranks.pairs(offsets[upto])
         return ranks
 
-    sent = "bucket int, shard bigint, size bigint, first binary, second binary, least binary, shared binary"
+    sent = "bucket int, shard bigint, size bigint, first binary, second binary, rest binary"
     names = [c.split()[0] for c in sent.split(", ")]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
 
-    def pairs_of(k: int):
-        def one(left: pa.Table, right: pa.Table | None) -> dict:
-            ranks = ranked(left.column("state")[0].as_py(), right, k)
-            ranks.pairs(offsets[k])
-            return ranks.sent(left.column("shard")[0].as_py())
+    def round_of(k: int, before: DataFrame | None) -> DataFrame:
+        """The pinned answers of round ``k``."""
+        kind, last = "rank" if k else "text", k == len(offsets) - 1
+
+        def one(shard: int, blob: bytes) -> Iterator[dict]:
+            yield ranked(blob, None, k).sent(shard, kind, last)
 
         def both(left: pa.Table, right: pa.Table) -> pa.Table:
-            made = one(left, right)
+            made = ranked(left.column("pieces")[0].as_py(), right, k).sent(left.column("shard")[0].as_py(), kind, last)
             return pa.table({n: pa.array(made[n], t) for n, t in zip(names, kinds, strict=True)})
 
-        if answers is None:
-            return S.each_shard(state, lambda shard, blob: iter([one(pa.table({"shard": [shard], "state": pa.array([blob], pa.binary())}), None)]), sent)
-        return state.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(both, sent)
+        own = state.select("shard", "pieces")
+        pairs = S.each_shard(own, one, sent) if before is None else own.groupBy("shard").cogroup(before.groupBy("shard")).applyInArrow(both, sent)
+        return pinned(S.each_bucket(pairs, _rerank(kind, last), _ANSWER).withColumn("round", F.lit(k)))
 
     for k in range(len(offsets)):
-        got = pinned(S.each_bucket(pairs_of(k), _rerank(k == len(offsets) - 1), _ANSWER).withColumn("round", F.lit(k)))
+        got = round_of(k, answers)
         answers = got if answers is None else answers.unionByName(got)
+        release(session)
 
     def cover(left: pa.Table, right: pa.Table) -> pa.Table:
-        ranks = ranked(left.column("state")[0].as_py(), right, len(offsets) - 1)
-        ranks.pairs(offsets[-1])
-        own = right.filter(pa.compute.equal(right.column("round"), len(offsets) - 1)).sort_by("bucket")
-        least = np.full(len(ranks.rank), _NONE, np.int64)
-        answer = np.concatenate([np.zeros(0, np.uint64), *(_from_planes(v.as_py(), n) for v, n in zip(own.column("answer"), own.column("size").to_pylist(), strict=True))]).view(np.int64)
-        least[ranks.at] = answer[ranks.place] if len(answer) else _NONE
-        key = ranks.key[ranks.owner] if len(ranks.owner) else np.zeros(0, np.int64)
-        hit = np.flatnonzero((least < key) & (key != _NONE))
-        edge = np.zeros(len(least) + 1, np.int32)
-        np.add.at(edge, hit, 1)
-        np.add.at(edge, hit + length, -1)
-        covered = np.cumsum(edge)[:-1] > 0
-        # Stretches of one document may touch or overlap; the reader of the spans unites them.
-        head = np.flatnonzero(covered & ~np.concatenate([[False], covered[:-1] & (ranks.owner[1:] == ranks.owner[:-1])])) if len(covered) else hit
-        tail = np.flatnonzero(covered & ~np.concatenate([covered[1:] & (ranks.owner[1:] == ranks.owner[:-1]), [False]])) if len(covered) else hit
-        own_by = ranks.owner[head] if len(head) else head
-        base = ranks.start[own_by] - ranks.offsets[own_by] if len(head) else head
-        made = pa.table({"row": ranks.row[own_by] if len(head) else head, "start": head + base, "end": tail + 1 + base})
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, made.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-            writer.write_table(made)
-        return pa.table({"shard": left.column("shard"), "spans": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
-
-    return state.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(cover, "shard bigint, spans binary")
+        ranks = ranked(left.column("pieces")[0].as_py(), right, len(offsets) - 1)
+        least = np.full(len(ranks.data) + 1, _NONE, np.int64)
+        least[ranks.at] = ranks.answered(right, len(offsets) - 1, "same").view(np.int64)
+        table = _read(left.column("chunks")[0].as_py())
+        row, key, start, size, at = (table.column(c).to_numpy() for c in ("row", "key", "start", "size", "at"))
+        chunk = np.repeat(np.arange(len(row)), size)
+        place = np.arange(len(chunk)) - np.repeat(np.cumsum(size) - size, size)
+        ranked_at = at[chunk]
+        # Windows of chunks that are not ranked all start in a smaller document too; a document without an id loses nothing.
+        hit = ((ranked_at < 0) | (least[np.where(ranked_at < 0, -1, ranked_at + place)] < key[chunk])) & (key[chunk] != _NONE)
+        row, begin = row[chunk][hit], (start[chunk] + place)[hit]
+        apart = np.ones(len(row), bool)
+        apart[1:] = (row[1:] != row[:-1]) | (begin[1:] > begin[:-1] + length)
+        head = np.flatnonzero(apart)
+        tail = np.append(head[1:], len(row)) - 1 if len(row) else head
+        spans = _stream(pa.table({"row": row[head], "start": begin[head], "end": begin[tail] + length}))
+        return pa.table({"shard": left.column("shard"), "spans": pa.array([spans], pa.binary())})
+
+    return pinned(state.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(cover, "shard bigint, spans binary"))
 
 
 def deduplicate(docs: DataFrame, length: int = LENGTH, sieve: int = SIEVE, with_text: bool = True) -> DataFrame:
@@ -356,11 +532,12 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, sieve: int = SIEVE, with_
     key = docs.schema["doc_id"].dataType.simpleString()
     packed = S.make(docs)
     spans = repeated_spans(packed, length, sieve)
+    release(docs.sparkSession)
     schema = f"doc_id {key}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept binary" if with_text else "")
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         keys, data, offsets = S.open_shard(left.column("blob")[0].as_py())
-        found = pa.ipc.open_stream(pa.BufferReader(right.column("spans")[0].as_py())).read_all()
+        found = _read(right.column("spans")[0].as_py())
         edge = np.zeros(len(data) + 1, np.int32)
         base = offsets[found.column("row").to_numpy()]
         np.add.at(edge, base + found.column("start").to_numpy(), 1)
