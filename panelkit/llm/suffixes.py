@@ -134,19 +134,13 @@ def _pack_bits(values: np.ndarray) -> bytes:
 
 
 def _residuals(values: np.ndarray, kind: str) -> np.ndarray:
-    """What is left of each number after a guess from the one before: the text one byte on, the next rank, or the same."""
+    """What is left of each number after a guess from the one before: the next number (``rank``), or the same."""
     out = values.astype(np.uint64)
-    before = out[:-1].copy()
-    out[1:] -= before << np.uint64(8) if kind == "text" else before + np.uint64(kind == "rank")
+    out[1:] -= out[:-1].copy() + np.uint64(kind == "rank")
     return out
 
 
 def _restored(x: np.ndarray, kind: str) -> np.ndarray:
-    if kind == "text":
-        out = x.copy()
-        for k in range(1, min(8, len(x))):
-            out[k:] += x[:-k] << np.uint64(8 * k)
-        return out
     out = np.cumsum(x, dtype=np.uint64)
     return out + np.arange(len(x), dtype=np.uint64) if kind == "rank" else out
 
@@ -161,6 +155,38 @@ def _unpack(blob: bytes, n: int, kind: str) -> np.ndarray:
     return _restored(np.ascontiguousarray(planes.T).view(">u8").ravel().astype(np.uint64), kind)
 
 
+def _pack_text(data: np.ndarray, at: np.ndarray, length: int) -> bytes:
+    """The ``length`` bytes from each of some positions; neighbours are one run of text."""
+    head = _heads(at - np.arange(len(at)))
+    size = _sizes(head, len(at))
+    whole = size + length - 1
+    before = np.cumsum(whole) - whole
+    text = data[np.repeat(at[head] - before, whole) + np.arange(whole.sum())]
+    sizes = size.astype(">u4").view(np.uint8).reshape(-1, 4).T
+    return np.array([len(size), len(text)], np.int64).tobytes() + S.deflate(np.concatenate([sizes.ravel(), text]))
+
+
+def _unpack_text(blob: bytes) -> np.ndarray:
+    """The first and the second eight bytes of each position as numbers, two columns."""
+    n, total = np.frombuffer(blob[:16], np.int64).tolist()
+    found = S.inflate(blob[16:], 4 * n + total, np.uint8)
+    size = np.ascontiguousarray(found[: 4 * n].reshape(4, n).T).view(">u4").ravel().astype(np.int64)
+    value = _eights(found[4 * n :])
+    whole = size + 15
+    base = np.cumsum(whole) - whole
+    at = np.repeat(base - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    return np.stack([value[at], value[at + 8]])
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position as a number; eight zero bytes are the greatest one, as zero stands for no rank."""
+    if len(data) < 8:
+        return np.zeros(0, np.uint64)
+    value = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)).view(">u8").ravel().astype(np.uint64)
+    value[value == 0] = np.uint64(2**64 - 1)
+    return value
+
+
 def _column(rows: pa.Table, name: str) -> np.ndarray:
     return rows.column(name).to_numpy()
 
@@ -299,12 +325,8 @@ class _Ranks:
         self.owner = np.repeat(np.arange(len(self.key)), np.diff(self.offsets))
         self.have = 8
         self.rank = np.zeros(len(self.data), np.uint64)
-        if len(self.data) >= 8:
-            whole = np.lib.stride_tricks.sliding_window_view(self.data, 8)
-            # Zero stands for no rank; a prefix of eight zero bytes gets the greatest number.
-            value = np.ascontiguousarray(whole).view(">u8").ravel().astype(np.uint64)
-            value[value == 0] = np.uint64(2**64 - 1)
-            self.rank[: len(value)] = np.where(_windows(self.offsets, 8)[: len(value)], value, np.uint64(0))
+        value = _eights(self.data)
+        self.rank[: len(value)] = np.where(_windows(self.offsets, 8)[: len(value)], value, np.uint64(0))
 
     def pairs(self, offset: int) -> None:
         """Distinct pairs of ranks at ``offset``, by bucket and in order of appearance."""
@@ -325,7 +347,7 @@ class _Ranks:
             start = _heads(own_a, own_b)
         self.start, count = start, _sizes(start, len(a))
         first = np.minimum.reduceat(self.order, start) if len(start) else start
-        least = _least_hashes(self.data, self.have, self.have * 13 // 16)[self.at[first]] if len(first) else np.zeros(0, np.uint64)
+        least = _least_hashes(self.data, self.have, self.have * 3 // 4)[self.at[first]] if len(first) else np.zeros(0, np.uint64)
         bucket = mix(least) >> np.uint64(64 - int(self.buckets).bit_length() + 1)
         bucket = bucket.astype(np.uint16 if self.buckets <= 1 << 16 else np.int64)
         by_place = np.argsort(first)
@@ -334,45 +356,64 @@ class _Ranks:
         new[listed] = np.arange(len(listed))
         self.place = np.empty(len(a), np.int64)
         self.place[self.order] = np.repeat(new, count)
-        self.listed, self.first, self.second, self.many = listed, a[first[listed]], b[first[listed]], (count > 1)[listed]
+        first = first[listed]
+        self.listed, self.first, self.second, self.places, self.many = listed, a[first], b[first], self.at[first], (count > 1)[listed]
         self.edges = np.searchsorted(bucket[listed], np.arange(self.buckets + 1))
 
-    def sent(self, shard: int, kind: str, last: bool) -> dict:
+    def sent(self, shard: int, first: bool, last: bool) -> dict:
         keys = self.key[self.owner[self.at[self.order]]] if last else np.zeros(0, np.int64)
         least = np.minimum.reduceat(keys, self.start)[self.listed].view(np.uint64) if last and len(keys) else keys.view(np.uint64)
-        return _listed(
+        rows = _listed(
             self.edges,
             bucket=lambda k, p: k,
             shard=lambda k, p: shard,
             size=lambda k, p: p.stop - p.start,
-            first=lambda k, p: _pack(self.first[p], kind),
-            second=lambda k, p: _pack(self.second[p], kind),
+            first=lambda k, p: _pack_text(self.data, self.places[p], 16) if first else _pack(self.first[p], "rank"),
+            second=lambda k, p: b"" if first else _pack(self.second[p], "rank"),
             # The smallest document counts in the last round alone; before, whether the shard has the pair more than once.
             rest=lambda k, p: _pack(least[p], "same") if last else _pack_bits(self.many[p]),
         )
-
-    def answered(self, rows: pa.Table, k: int, kind: str) -> np.ndarray:
-        """The answers of round ``k`` to the pairs, put at their positions."""
+        # Which pair each position has comes back with the answers, so that nothing has to be sorted again.
+        own = (((shard >> 32) * 31 + (shard & 0xFFFFFFFF)) % self.buckets, shard, -len(self.at) - 1, _pack(self.at, "rank"), _pack(self.place, "rank"), b"")
+        for values, v in zip(rows.values(), own, strict=True):
+            values.append(v)
+        return rows
+
+    def answered(self, rows: pa.Table, k: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and the answers of round ``k`` to their pairs."""
         own = rows.filter(pa.compute.equal(rows.column("round"), k)).sort_by("bucket")
-        found = [np.zeros(0, np.uint64)]
-        for blob, n, b in zip(own.column("answer"), own.column("size").to_pylist(), own.column("bucket").to_pylist(), strict=True):
+        found, at, place = [np.zeros(0, np.uint64)], None, None
+        for blob, rest, n, b in zip(own.column("answer"), own.column("rest"), own.column("size").to_pylist(), own.column("bucket").to_pylist(), strict=True):
+            if n < 0:
+                at, place = (_unpack(x.as_py(), -n - 1, "rank").view(np.int64) for x in (blob, rest))
+                continue
             value = _unpack(blob.as_py(), n, kind)
             found.append(np.where(value > 0, value + (np.uint64(b) << np.uint64(_RANKED)), value) if kind == "rank" else value)
         answer = np.concatenate(found)
-        if len(answer) != len(self.first):
+        if at is None or len(answer) != int(place.max(initial=-1)) + 1:
             raise ValueError("a shard did not get the ranks it asked for")
-        return answer[self.place]
+        return at, answer[place]
 
-    def take(self, rows: pa.Table, k: int) -> None:
-        answer = self.answered(rows, k, "rank")
+    def take(self, rows: pa.Table, k: int, offset: int) -> None:
+        at, answer = self.answered(rows, k, "rank")
+        self.have += offset
         self.rank = np.zeros(len(self.data), np.uint64)
-        self.rank[self.at] = answer
+        self.rank[at] = answer
 
 
-def _rerank(kind: str, last: bool):
+def _rerank(first: bool, last: bool):
     def answer(bucket: int, rows: pa.Table) -> Iterator[dict]:
         """New ranks of the pairs in order of appearance, 0 for a pair there is once; in the last round the least document of each."""
-        a, b = _gathered(rows, "first", _unpack, kind), _gathered(rows, "second", _unpack, kind)
+        maps = rows.filter(pa.compute.less(rows.column("size"), 0))
+        if maps.num_rows:
+            yield {"shard": _column(maps, "shard"), "bucket": np.full(maps.num_rows, -1), "size": _column(maps, "size"), "answer": maps.column("first"), "rest": maps.column("second")}
+        rows = rows.filter(pa.compute.greater(rows.column("size"), 0))
+        if not rows.num_rows:
+            return
+        if first:
+            a, b = np.concatenate([_unpack_text(v.as_py()) for v in rows.column("first")], axis=1)
+        else:
+            a, b = _gathered(rows, "first", _unpack, "rank"), _gathered(rows, "second", _unpack, "rank")
         value = mix(a ^ mix(b))
         order = np.argsort(value)
         start = _heads(value[order])
@@ -393,7 +434,7 @@ def _rerank(kind: str, last: bool):
             given = numbered
         out = np.empty(len(a), np.uint64)
         out[order] = np.repeat(given, count)
-        yield _answers(bucket, rows, out, lambda x: _pack(x, "same" if last else "rank"))
+        yield _answers(bucket, rows, out, lambda x: _pack(x, "same" if last else "rank"), rest=[b""] * rows.num_rows)
 
     return answer
 
@@ -468,9 +509,9 @@ def repeated_spans(packed: DataFrame, length: int = LENGTH, sieve: int = SIEVE)
 
     def ranked(blob: bytes, got: pa.Table | None, upto: int) -> _Ranks:
         ranks = _Ranks(blob, buckets)
-        for k in range(upto):
-            ranks.pairs(offsets[k])
-            ranks.take(got, k)
+        if upto:
+            ranks.have += sum(offsets[: upto - 1])
+            ranks.take(got, upto - 1, offsets[upto - 1])
         ranks.pairs(offsets[upto])
         return ranks
 
@@ -480,28 +521,29 @@ def repeated_spans(packed: DataFrame, length: int = LENGTH, sieve: int = SIEVE)
 
     def round_of(k: int, before: DataFrame | None) -> DataFrame:
         """The pinned answers of round ``k``."""
-        kind, last = "rank" if k else "text", k == len(offsets) - 1
+        first, last = not k, k == len(offsets) - 1
 
         def one(shard: int, blob: bytes) -> Iterator[dict]:
-            yield ranked(blob, None, k).sent(shard, kind, last)
+            yield ranked(blob, None, k).sent(shard, first, last)
 
         def both(left: pa.Table, right: pa.Table) -> pa.Table:
-            made = ranked(left.column("pieces")[0].as_py(), right, k).sent(left.column("shard")[0].as_py(), kind, last)
+            made = ranked(left.column("pieces")[0].as_py(), right, k).sent(left.column("shard")[0].as_py(), first, last)
             return pa.table({n: pa.array(made[n], t) for n, t in zip(names, kinds, strict=True)})
 
         own = state.select("shard", "pieces")
         pairs = S.each_shard(own, one, sent) if before is None else own.groupBy("shard").cogroup(before.groupBy("shard")).applyInArrow(both, sent)
-        return pinned(S.each_bucket(pairs, _rerank(kind, last), _ANSWER).withColumn("round", F.lit(k)))
+        return pinned(S.each_bucket(pairs, _rerank(first, last), f"{_ANSWER}, rest binary").withColumn("round", F.lit(k)))
 
     for k in range(len(offsets)):
-        got = round_of(k, answers)
-        answers = got if answers is None else answers.unionByName(got)
+        # The answers of a round have all that those before it had.
+        answers = round_of(k, answers)
         release(session)
 
     def cover(left: pa.Table, right: pa.Table) -> pa.Table:
-        ranks = ranked(left.column("pieces")[0].as_py(), right, len(offsets) - 1)
+        ranks = _Ranks(left.column("pieces")[0].as_py(), buckets)
         least = np.full(len(ranks.data) + 1, _NONE, np.int64)
-        least[ranks.at] = ranks.answered(right, len(offsets) - 1, "same").view(np.int64)
+        at, answer = ranks.answered(right, len(offsets) - 1, "same")
+        least[at] = answer.view(np.int64)
         table = _read(left.column("chunks")[0].as_py())
         row, key, start, size, at = (table.column(c).to_numpy() for c in ("row", "key", "start", "size", "at"))
         chunk = np.repeat(np.arange(len(row)), size)
