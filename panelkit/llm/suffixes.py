@@ -34,7 +34,7 @@ LENGTH = 50
 SIEVE = 26
 _SIEVE_MASK = np.uint64(2**64 - 2**16)
 #: A chunk ends where the hash of this many bytes is a multiple of the next number, on average after so many windows; at the third at most.
-CUT_BYTES, CUT_MEAN, CUT_MOST = 16, 32, 256
+CUT_BYTES, CUT_MEAN, CUT_MOST = 16, 64, 512
 #: Positions that are hashed together.
 _BLOCK = 1 << 16
 _NONE = np.iinfo(np.int64).max
