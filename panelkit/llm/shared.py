@@ -26,11 +26,11 @@ def pinned(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark delete what nothing refers to any more, as shuffle files whose result is pinned; else they stay until the driver happens to collect its garbage."""
-    # What the first round finds unreachable holds more that the second does.
-    for _ in range(2):
+    # What one round finds unreachable, and the cleaner then takes apart, holds more that the next one finds.
+    for _ in range(3):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
+        time.sleep(0.5)
 
 
 def boxed(docs: DataFrame, *kept: str) -> DataFrame:

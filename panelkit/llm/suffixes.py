@@ -347,7 +347,7 @@ class _Ranks:
             start = _heads(own_a, own_b)
         self.start, count = start, _sizes(start, len(a))
         first = np.minimum.reduceat(self.order, start) if len(start) else start
-        least = _least_hashes(self.data, self.have, self.have * 3 // 4)[self.at[first]] if len(first) else np.zeros(0, np.uint64)
+        least = _least_hashes(self.data, self.have, self.have * 5 // 8)[self.at[first]] if len(first) else np.zeros(0, np.uint64)
         bucket = mix(least) >> np.uint64(64 - int(self.buckets).bit_length() + 1)
         bucket = bucket.astype(np.uint16 if self.buckets <= 1 << 16 else np.int64)
         by_place = np.argsort(first)
