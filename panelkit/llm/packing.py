@@ -1,11 +1,10 @@
 """Token packing by Karmarkar-Karp multiway differencing.
 
 Each task tokenises its documents, cuts full sequences off long ones and gathers
-the remainders into groups of a fixed number of tokens. In a group the largest
+the remainders, in pieces, into groups of a fixed number of tokens. In a group the largest
 differencing method merges partial partitions, the fullest windows of one with
-the emptiest of the other, into windows of nearly equal length. What sticks out
-over the capacity is cut off and fills the room of other windows; where pieces
-may not be cut, the window count rises instead.
+the emptiest of the other, into windows of nearly equal length. Where one is over
+the capacity the window count rises.
 """
 
 from __future__ import annotations
@@ -24,112 +23,97 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CAPACITY = 1024
-#: Windows of one group of remainders.
-GROUP_WINDOWS = 48
+#: Windows of one group of remainders, and tokens of 1,024 that are left free in each, so that differencing mostly fits.
+GROUP_WINDOWS = 32
+SLACK = 6
+#: Tokens of a piece of a remainder, at most.
+PIECE = 256
 END_ID = 0
 
 
 def karmarkar_karp(lengths: list[int], windows: int) -> list[list[int]]:
-    """Indices of ``lengths`` in ``windows`` lists of nearly equal sums."""
-    heap = [(-n, i, [(n, [i])] + [(0, [])] * (windows - 1)) for i, n in enumerate(lengths)]
+    """Indices of ``lengths`` in ``windows`` lists of nearly equal sums.
+
+    Partial partitions are arrays of falling sums. Of the two with the greatest imbalance the fullest window of one goes with
+    the emptiest of the other; the places are followed back from the last partition to the first.
+    """
+    own: list[list[int]] = [[] for _ in range(windows)]
+    if not lengths:
+        return own
+    sums: dict[int, np.ndarray] = {}
+    heap = []
+    for i, n in enumerate(lengths):
+        sums[i] = np.zeros(windows, np.int64)
+        sums[i][0] = n
+        heap.append((-n if windows > 1 else 0, i))
     heapq.heapify(heap)
+    merges: list[tuple[int, int, np.ndarray]] = []
     ticket = len(lengths)
     while len(heap) > 1:
-        # Both are sorted by falling sum: the fullest of one meets the emptiest of the other.
-        _, _, a = heapq.heappop(heap)
-        _, _, b = heapq.heappop(heap)
-        merged = sorted(((x + y, p + q) for (x, p), (y, q) in zip(a, reversed(b), strict=True)), key=lambda w: -w[0])
-        heapq.heappush(heap, (merged[-1][0] - merged[0][0], ticket, merged))
+        a, b = heapq.heappop(heap)[1], heapq.heappop(heap)[1]
+        merged = sums.pop(a) + sums.pop(b)[::-1]
+        order = np.argsort(-merged, kind="stable")
+        sums[ticket] = merged = merged[order]
+        merges.append((a, b, order))
+        heapq.heappush(heap, (int(merged[-1] - merged[0]), ticket))
         ticket += 1
-    return [own for _, own in heap[0][2]] if heap else [[] for _ in range(windows)]
-
-
-def windows_of(lengths: list[int], capacity: int, cut: bool = True) -> list[list[tuple[int, int, int]]]:
-    """Windows of pieces (index, start, length), each of at most ``capacity``.
-
-    With ``cut``, windows that differencing leaves too long give their excess to windows with room. Without, or where
-    the room is not enough, the window count rises until every window fits. A length over the capacity must be cut.
-    """
-    if not lengths:
-        return []
-    if not cut and max(lengths) > capacity:
+    labels = {ticket - 1: np.arange(windows)}
+    for node, (a, b, order) in zip(range(ticket - 1, len(lengths) - 1, -1), reversed(merges), strict=True):
+        found = np.empty(windows, np.int64)
+        found[order] = labels.pop(node)
+        labels[a], labels[b] = found, found[::-1]
+    for i in range(len(lengths)):
+        own[int(labels[i][0])].append(i)
+    return own
+
+
+def windows_of(lengths: list[int], capacity: int) -> list[list[int]]:
+    """Indices of ``lengths``, each of at most ``capacity``, in windows of at most ``capacity``: as few as the sum needs, and one
+    more as long as differencing exceeds the capacity."""
+    if lengths and max(lengths) > capacity:
         raise ValueError("a length over the capacity has to be cut")
     count = max(1, -(-sum(lengths) // capacity))
     while True:
         parts = karmarkar_karp(lengths, count)
-        over = max(sum(lengths[i] for i in p) for p in parts) > capacity
-        if not over:
-            return [[(i, 0, lengths[i]) for i in p] for p in parts if p]
-        if cut:
-            return _level([[(i, 0, lengths[i]) for i in p] for p in parts], capacity)
+        if max((sum(lengths[i] for i in p) for p in parts), default=0) <= capacity:
+            return [p for p in parts if p]
         count += 1
 
 
-def _level(windows: list[list[tuple[int, int, int]]], capacity: int) -> list[list[tuple[int, int, int]]]:
-    spare: list[tuple[int, int, int]] = []
-    for own in windows:
-        excess = sum(n for _, _, n in own) - capacity
-        while excess > 0:
-            # The longest piece gives, so that few pieces are short.
-            at = max(range(len(own)), key=lambda k: own[k][2])
-            i, start, n = own[at]
-            gone = min(excess, n)
-            spare.append((i, start + n - gone, gone))
-            own[at : at + 1] = [(i, start, n - gone)] if n > gone else []
-            excess -= gone
-    for own in windows:
-        room = capacity - sum(n for _, _, n in own)
-        while room > 0 and spare:
-            i, start, n = spare.pop()
-            own.append((i, start, min(n, room)))
-            if n > room:
-                spare.append((i, start + room, n - room))
-            room -= min(n, room)
-    while spare:
-        i, start, n = spare.pop()
-        windows.append([(i, start, min(n, capacity))])
-        if n > capacity:
-            spare.append((i, start + capacity, n - capacity))
-    return [own for own in windows if own]
-
-
 class _Packer:
     """Packs the documents of one task in order; holds the remainders of one group at a time."""
 
     def __init__(self, capacity: int, group_windows: int):
-        self.capacity, self.full = capacity, capacity * group_windows
+        self.capacity, self.full = capacity, group_windows * (capacity - SLACK * capacity // 1024)
         self.sequence, self.held, self.tokens = 0, [], 0
         self.out: list[tuple] = []
 
-    def piece(self, doc, start: int, ids: np.ndarray, total: int, offset: int) -> None:
-        self.out.append((doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), total, self.sequence, offset, ids))
+    def made(self, doc, start: int, ids: np.ndarray, total: int, offset: int) -> tuple:
+        return doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), total, self.sequence, offset, ids
 
     def add(self, doc, ids: np.ndarray) -> None:
         total, start = len(ids), 0
         while total - start >= self.capacity:
-            self.piece(doc, start, ids[start : start + self.capacity], total, 0)
+            self.out.append(self.made(doc, start, ids[start : start + self.capacity], total, 0))
             self.sequence += 1
             start += self.capacity
-        if start < total:
-            # The group closes at an exact number of full windows, if need be inside this remainder.
-            take = min(total - start, self.full - self.tokens)
-            self.hold(doc, start, ids[start : start + take], total)
-            if start + take < total:
-                self.hold(doc, start + take, ids[start + take :], total)
-
-    def hold(self, doc, start: int, ids: np.ndarray, total: int) -> None:
-        self.held.append((doc, start, ids, total))
-        self.tokens += len(ids)
-        if self.tokens == self.full:
-            self.close()
+        while start < total:
+            # Short pieces level out; the last two of a remainder are nearly equal. The group closes at its number of tokens, if need be inside a piece.
+            left = total - start
+            n = min(left if left <= PIECE else PIECE if left > 2 * PIECE else -(-left // 2), self.full - self.tokens)
+            self.held.append((doc, start, ids[start : start + n], total))
+            self.tokens += n
+            start += n
+            if self.tokens == self.full:
+                self.close()
 
     def close(self) -> None:
         for own in windows_of([len(h[2]) for h in self.held], self.capacity):
             offset = 0
-            for i, start, n in own:
-                doc, base, ids, total = self.held[i]
-                self.piece(doc, base + start, ids[start : start + n], total, offset)
-                offset += n
+            for i in own:
+                doc, start, ids, total = self.held[i]
+                self.out.append(self.made(doc, start, ids, total, offset))
+                offset += len(ids)
             self.sequence += 1
         self.held, self.tokens = [], 0
 
