@@ -1,13 +1,15 @@
 """Benchmark decontamination with a broadcast hash set of normalised test n-grams.
 
 The windows of the test items are hashed on the driver in blocks of bounded
-size; each block is broadcast and every document is scanned against it map-side.
+size; some blocks are broadcast at a time and every document is scanned against
+them map-side, then the result is written and the next blocks follow.
 A hash hit counts only after its words equal those of a test window.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -15,59 +17,62 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelkit.llm.shared import boxed, unboxed
+from panelkit.llm.shared import boxed, pinned, unboxed
 from panelkit.llm.textscan import ALNUM, Words, chunks, per_document, run_hashes, text_buffer
 
 WINDOW = 13
-#: Bytes of item text in one broadcast block; more items make more blocks, each scanned against all documents.
-BLOCK_BYTES = 32 << 20
+#: Bytes of item text in one broadcast block, of at most half as many windows; more items make more blocks, each scanned against all documents.
+BLOCK_BYTES = 2 << 20
+#: Blocks that one pass over the documents is scanned against.
+PASS_BLOCKS = 8
 _BLOOM_BITS = 22
 
 
 class WindowSet:
-    """Windows of one block of items: sorted hashes, the exact word strings, and the items of each."""
+    """Windows of one block of items: hashes in order, the words of each as a byte range, and its item; arrays, of 32 bytes a window beside the text."""
 
     def __init__(self, items: list[tuple[int, str]], window: int):
-        texts = pa.array([text for _, text in items], pa.large_string())
-        data, offsets = text_buffer(texts)
+        data, offsets = text_buffer(pa.array([text for _, text in items], pa.large_string()))
         words = Words(data, offsets, ALNUM)
         start, size = words.run_starts(window, whole=True)
-        doc = words.docs()[start] if len(start) else start
-        raw = words.data.tobytes()
-        self.sizes = sorted(set(size.tolist()))
-        self.items: dict[bytes, tuple[int, ...]] = {}
-        owners: dict[bytes, set[int]] = {}
-        for s, n, d in zip(start.tolist(), size.tolist(), doc.tolist(), strict=True):
-            owners.setdefault(words_key(raw, words, s, n), set()).add(items[d][0])
-        self.items = {k: tuple(sorted(v)) for k, v in owners.items()}
-        hashes = run_hashes(words.hashes(), start, size) if len(start) else np.zeros(0, np.uint64)
-        self.hashes = np.unique(hashes)
+        self.raw, at = words.spaced()
+        item = np.array([i for i, _ in items], np.int64)[words.docs()[start]] if len(start) else start
+        hashes = run_hashes(words.hashes(), start, size)
+        order = np.lexsort((item, hashes))
+        self.hashes, self.item = hashes[order], item[order]
+        self.low, self.high = at[start[order]], at[(start + size)[order]] - 1
+        self.sizes = np.unique(size).tolist()
+        # An item has a window once.
+        again = np.flatnonzero((self.hashes[1:] == self.hashes[:-1]) & (self.item[1:] == self.item[:-1])) + 1
+        keep = np.ones(len(order), bool)
+        keep[[k for k in again.tolist() if self.words(k) == self.words(k - 1)]] = False
+        self.hashes, self.item, self.low, self.high = (x[keep] for x in (self.hashes, self.item, self.low, self.high))
         self.bloom = np.zeros(1 << _BLOOM_BITS, bool)
         self.bloom[self.hashes >> np.uint64(64 - _BLOOM_BITS)] = True
 
-    def hits(self, words: Words) -> tuple[np.ndarray, np.ndarray, list[tuple[int, ...]]]:
-        """First word, length and items of every window that occurs in the scanned documents."""
+    def words(self, k: int) -> bytes:
+        return self.raw[self.low[k] : self.high[k]]
+
+    def hits(self, words: Words) -> tuple[list[int], list[int], list[list[int]]]:
+        """First word, length and items of every window that occurs in the scanned documents; equal hashes count only for equal words."""
         found, sizes, items = [], [], []
         if not len(words) or not self.sizes:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), items
-        value, raw = words.hashes(), None
+            return found, sizes, items
+        value, spaced = words.hashes(), None
         for size in self.sizes:
             start, _ = words.run_starts(size)
             hashes = run_hashes(value, start, size)
             maybe = np.flatnonzero(self.bloom[hashes >> np.uint64(64 - _BLOOM_BITS)])
-            maybe = maybe[np.isin(hashes[maybe], self.hashes)] if len(maybe) else maybe
-            for s in start[maybe].tolist():
-                raw = words.data.tobytes() if raw is None else raw
-                if own := self.items.get(words_key(raw, words, s, size)):
+            low, high = (np.searchsorted(self.hashes, hashes[maybe], side) for side in ("left", "right"))
+            real = np.flatnonzero(high > low)
+            for s, a, b in zip(start[maybe[real]].tolist(), low[real].tolist(), high[real].tolist(), strict=True):
+                spaced = words.spaced() if spaced is None else spaced
+                own = spaced[0][spaced[1][s] : spaced[1][s + size] - 1]
+                if met := [int(self.item[k]) for k in range(a, b) if self.words(k) == own]:
                     found.append(s)
                     sizes.append(size)
-                    items.append(own)
-        return np.array(found, np.int64), np.array(sizes, np.int64), items
-
-
-def words_key(raw: bytes, words: Words, start: int, size: int) -> bytes:
-    spans = zip(words.start[start : start + size].tolist(), words.end[start : start + size].tolist(), strict=True)
-    return b" ".join(raw[a:b] for a, b in spans)
+                    items.append(met)
+        return found, sizes, items
 
 
 def _blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
@@ -104,28 +109,38 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
     """
     session = docs.sparkSession
     out = docs.drop("contamination")
-    names, first = out.columns, True
-    for items in _blocks(benchmark, block_bytes):
-        shared = session.sparkContext.broadcast(WindowSet(items, window))
-        out = out.mapInArrow(_scanner(shared, len(names), names.index("text"), first), T.StructType([*docs.drop("contamination").schema.fields, T.StructField("contamination", SPANS)]))
-        first = False
+    names = out.columns
+    schema = T.StructType([*out.schema.fields, T.StructField("contamination", SPANS)])
+    blocks, first = _blocks(benchmark, block_bytes), True
+    shared = [session.sparkContext.broadcast(WindowSet(items, window)) for items in islice(blocks, PASS_BLOCKS)]
+    while shared:
+        out = out.mapInArrow(_scanner(shared, len(names), names.index("text"), first), schema)
+        first, more = False, next(blocks, None)
+        if more is None:
+            break
+        # Written, so that the blocks of the pass can go before the next are made.
+        out = pinned(out)
+        for one in shared:
+            one.destroy()
+        shared = [session.sparkContext.broadcast(WindowSet(items, window)) for items in (more, *islice(blocks, PASS_BLOCKS - 1))]
     return out
 
 
-def _scanner(shared, width: int, text_at: int, first: bool):
+def _scanner(shared: list, width: int, text_at: int, first: bool):
     kind = pa.struct(
         [("n_words", pa.int64()), ("hit", pa.list_(pa.struct([("word", pa.int64()), ("words", pa.int64())]))), ("items", pa.list_(pa.int64())), ("bytes", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows: WindowSet = shared.value
+        blocks: list[WindowSet] = [x.value for x in shared]
         for batch in batches:
             data, offsets = text_buffer(batch.column(text_at))
             before = None if first else batch.column(width).to_pylist()
             rows = []
             for low, high in chunks(offsets):
                 words = Words(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], ALNUM)
-                start, size, items = windows.hits(words)
+                start, size, items = (list(chain.from_iterable(x)) for x in zip(*(b.hits(words) for b in blocks), strict=True))
+                start, size = np.array(start, np.int64), np.array(size, np.int64)
                 cover = np.zeros(len(words) + 1, np.int64)
                 np.add.at(cover, start, 1)
                 np.add.at(cover, start + size, -1)
