@@ -30,11 +30,11 @@ WINDOW = 8
 MIN_WORDS = 20
 #: Shorter documents are not judged by divergence: their histograms are noise.
 MIN_CHARS = 300
-MIN_COMMON = 50
+MIN_JUDGED_WORDS = 150
 #: A language with fewer characters than this over all its documents has no reference.
 MIN_REFERENCE_CHARS = 20_000
 MAX_CLASS_DISTANCE = 0.19
-MAX_WORD_DISTANCE = 0.55
+MAX_WORD_DISTANCE = 0.25
 #: Rows of the reference table that may be broadcast; beyond it Spark picks the join.
 BROADCAST_ROWS = 10_000
 
@@ -139,13 +139,6 @@ def _shares(counts: Column) -> Column:
     return F.transform(F.concat(listed, F.array(rest)), lambda x: F.try_divide(x.cast("double"), total.cast("double")))
 
 
-def _common_shares(counts: Column) -> Column:
-    """Shares among the common words alone: how common they are together is no matter of language."""
-    listed = F.slice(counts, F.lit(1), F.size(counts) - 1)
-    total = F.aggregate(listed, F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return F.transform(listed, lambda x: F.try_divide(x.cast("double"), total.cast("double")))
-
-
 def jensen_shannon(p: Column, q: Column) -> Column:
     """Jensen-Shannon distance, base 2, of two histograms of shares; between 0 and 1."""
     term = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
@@ -159,10 +152,10 @@ def judged(features: DataFrame, reference: DataFrame) -> DataFrame:
     q = F.col("q")
     rows = features.join(F.broadcast(reference) if small else reference, F.coalesce("lang", F.lit("")) == F.col("ref_lang"), "left")
     enough = F.element_at("ref_chars", -1) >= MIN_REFERENCE_CHARS
-    listed = F.aggregate(F.slice(q["common"], 1, len(COMMON_WORDS)), F.lit(0).cast("bigint"), lambda a, x: a + x)
     return (
         rows.withColumn("class_distance", F.when(enough & (F.element_at(q["chars"], -1) >= MIN_CHARS), jensen_shannon(_shares(q["chars"]), _shares(F.col("ref_chars")))))
-        .withColumn("word_distance", F.when(enough & (listed >= MIN_COMMON), jensen_shannon(_common_shares(q["common"]), _common_shares(F.col("ref_common")))))
+        # All other words are one more bin, so that a text without common words is far from any language.
+        .withColumn("word_distance", F.when(enough & (q["n_words"] >= MIN_JUDGED_WORDS), jensen_shannon(_shares(q["common"]), _shares(F.col("ref_common")))))
         .withColumn("diverges", F.coalesce(F.col("class_distance") > MAX_CLASS_DISTANCE, F.lit(False)) | F.coalesce(F.col("word_distance") > MAX_WORD_DISTANCE, F.lit(False)))
         .drop("ref_lang", "ref_chars", "ref_common")
     )
