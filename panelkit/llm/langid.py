@@ -16,16 +16,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkit.llm.shared import pinned
 from panelkit.llm.textscan import chunks, text_buffer
 
-#: Labelled documents that the text model is fitted on, at most.
-SAMPLE_ROWS = 5_000
-#: Languages, at most; labels beyond the most frequent ones are left out.
-MAX_LANGUAGES = 64
+#: Distinct labelled texts of each language that the text model is fitted on, at most.
+SAMPLE_TEXTS = 1_250
+#: The declared language of a page; bounded, so that a page full of opening tags takes no long scan from each.
+DECLARED = r"(?i)<html\b[^>]{0,1000}?\blang\s{0,20}=\s{0,20}[\"']?([A-Za-z]{2,3})"
 _BUCKETS = 1 << 14
 #: Trigrams of a page that count in full; more evidence than this is scaled down, as trigrams are not independent.
 EVIDENCE = 60.0
@@ -70,13 +70,16 @@ class TextModel:
         return out
 
 
-def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> TextModel:
-    """A text model from at most ``sample_rows`` documents with a ``lang``, whole texts, picked by a hash of their content."""
-    labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
-    # About twice the sample passes a threshold of the hash, so that no task sees more than a few times its size.
-    share = min(1.0, 2 * sample_rows / max(1, labelled.count()))
-    picked = labelled.withColumn("h", F.xxhash64("lang", "text")).where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
-    picked = picked.orderBy("h", "lang").limit(sample_rows).select("lang", "text")
+def fit(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> TextModel:
+    """A text model from at most ``sample_texts`` distinct whole texts of each ``lang``, picked by a hash of their content."""
+    labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64("lang", "text").alias("h"))
+    # About twice the sample of a language passes a threshold of the hash, so that no task orders more than a few times its size.
+    counts = labelled.groupBy(F.col("lang").alias("_lang")).agg(F.approx_count_distinct("h").alias("n"))
+    share = F.least(F.lit(1.0), F.lit(2.0 * sample_texts + 100) / F.col("n")) * (1 << 30)
+    passed = labelled.join(counts, F.col("lang") == F.col("_lang")).where(F.pmod("h", F.lit(1 << 30)) < share)
+    # Copies of a text are one; the hash is of the whole text.
+    one = passed.groupBy("lang", "h").agg(F.first("text").alias("text"))
+    picked = one.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= sample_texts).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,22 +91,43 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> TextModel:
                 at = np.flatnonzero(seen)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(seen[at])], ["lang", "bucket", "n"])
 
-    counted = picked.mapInArrow(count, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    counted = pinned(counted)
-    kept = [r.lang for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()]
-    languages = sorted(kept)
+    counted = picked.mapInArrow(count, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
+    languages = sorted({r.lang for r in counted})
+    place = {lang: k for k, lang in enumerate(languages)}
     table = np.zeros((len(languages), _BUCKETS))
-    for r in counted.where(F.col("lang").isin(languages)).collect():
-        table[languages.index(r.lang), r.bucket] = r.n
+    for r in counted:
+        table[place[r.lang], r.bucket] = r.n
     return TextModel(languages, np.log((table + 0.5) / (table + 0.5).sum(1, keepdims=True)))
 
 
-_HIDDEN = re.compile(r"<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
+_OPEN = re.compile(r"<(?:(script|style)\b|(!--))?", re.I)
+_CLOSE = {k: re.compile(rf"</{k}\s*>", re.I) for k in ("script", "style")}
+#: A character reference of so many digits is no character, and too long for a number.
+_ENDLESS = re.compile(r"&#[0-9]{9,};?")
 
 
 def visible_text(html: str) -> str:
-    """The text of a page without markup, scripts and comments; white space is single spaces."""
-    return " ".join(html_entities.unescape(_HIDDEN.sub(" ", html)).split()) if html else ""
+    """The text of a page without markup, scripts and comments; white space is single spaces.
+
+    One scan forward: what a script, style or comment that is never closed hides goes to the end; a ``<`` without ``>`` is text.
+    """
+    out, at = [], 0
+    while (m := _OPEN.search(html or "", at)) is not None:
+        out.append(html[at : m.start()])
+        if m[2]:
+            end = html.find("-->", m.end())
+            at = end + 3 if end >= 0 else len(html)
+            continue
+        end = html.find(">", m.end())
+        if end < 0:
+            at = m.start()
+            break
+        at = end + 1
+        if m[1]:
+            closed = _CLOSE[m[1].lower()].search(html, at)
+            at = closed.end() if closed else len(html)
+    out.append((html or "")[at:])
+    return " ".join(html_entities.unescape(_ENDLESS.sub("\ufffd", " ".join(out))).split())
 
 
 def evidence(pages: DataFrame, model: TextModel) -> DataFrame:
@@ -118,7 +142,7 @@ def evidence(pages: DataFrame, model: TextModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], logs], ["page_id", "host", "declared", "logs"])
 
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    declared = F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", 1))
+    declared = F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), DECLARED, 1))
     rows = pages.select("page_id", "html", host.alias("host"), declared.alias("declared")).mapInArrow(score, f"page_id {key}, host string, declared string, logs array<double>")
     return rows.withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)).withColumn("suffix", F.regexp_extract("host", r"\.([^.]+)$", 1))
 
