@@ -25,8 +25,12 @@ SHARD_BYTES = 8 << 20
 BUCKET_BYTES = 24 << 20
 
 
+#: Level of compression of what travels.
+LEVEL = 3
+
+
 def deflate(values: np.ndarray) -> bytes:
-    return pa.compress(np.ascontiguousarray(values).tobytes(), codec="zstd", asbytes=True)
+    return pa.Codec("zstd", LEVEL).compress(np.ascontiguousarray(values).tobytes(), asbytes=True)
 
 
 def inflate(blob: bytes, count: int, kind) -> np.ndarray:
@@ -59,7 +63,7 @@ def make(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             nonlocal number, held, size
             joined = pa.Table.from_batches(held).combine_chunks()
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, joined.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            with pa.ipc.new_stream(sink, joined.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", LEVEL))) as writer:
                 writer.write_table(joined)
             row = pa.RecordBatch.from_arrays([pa.array([number]), pa.array([size]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["shard", "n_bytes", "blob"])
             number, held, size = number + 1, [], 0

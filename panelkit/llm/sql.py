@@ -36,12 +36,17 @@ ORACLE["op1_chat_format"] = f"""WITH turns AS (
   FROM sized GROUP BY conv_id"""
 
 ORACLE["op2_stupid_backoff"] = f"""WITH docs AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all({_lower("coalesce(text, '')")}, '{_SPACED}') AS w FROM documents),
-  tokens AS (SELECT k, unnest(w) AS b, unnest(list_prepend(NULL, w[:-2])) AS a FROM docs WHERE len(w) > 0),
-  one AS (SELECT b AS w, count(*) AS n FROM tokens GROUP BY b), total AS (SELECT sum(n) AS n FROM one),
-  two AS (SELECT a, b, count(*) AS n FROM tokens WHERE a IS NOT NULL GROUP BY a, b HAVING count(*) >= {lm.MIN_COUNT}),
-  scored AS (SELECT k, CASE WHEN two.n IS NOT NULL THEN ln(two.n / ctx.n)
-      ELSE ln(one.n / total.n) + CASE WHEN t.a IS NOT NULL THEN ln({lm.ALPHA}) ELSE 0 END END AS s
-    FROM tokens t JOIN one ON one.w = t.b CROSS JOIN total LEFT JOIN two ON two.a = t.a AND two.b = t.b LEFT JOIN one ctx ON ctx.w = t.a),
+  tokens AS (SELECT k, len(w) AS size, unnest(w) AS c, unnest(list_prepend(NULL, w)[1:len(w)]) AS b, unnest(list_prepend(NULL, list_prepend(NULL, w))[1:len(w)]) AS a FROM docs WHERE len(w) > 0),
+  total AS (SELECT count(*) AS n FROM tokens),
+  one AS (SELECT k, c, count(*) AS own, sum(count(*)) OVER (PARTITION BY c) AS n FROM tokens GROUP BY k, c),
+  two AS (SELECT k, b, c, count(*) AS own, sum(count(*)) OVER (PARTITION BY b, c) AS n FROM tokens WHERE b IS NOT NULL GROUP BY k, b, c),
+  three AS (SELECT k, a, b, c, count(*) AS own, sum(count(*)) OVER (PARTITION BY a, b, c) AS n FROM tokens WHERE a IS NOT NULL GROUP BY k, a, b, c),
+  others AS (SELECT t.*, greatest(o1.n - o1.own, 1) AS n1, greatest(total.n - size, 1) AS x1, o2.n - o2.own AS n2, p1.n - p1.own AS x2, o3.n - o3.own AS n3, p2.n - p2.own AS x3
+    FROM tokens t CROSS JOIN total JOIN one o1 ON o1.k = t.k AND o1.c = t.c LEFT JOIN two o2 ON o2.k = t.k AND o2.b = t.b AND o2.c = t.c
+      LEFT JOIN three o3 ON o3.k = t.k AND o3.a = t.a AND o3.b = t.b AND o3.c = t.c
+      LEFT JOIN one p1 ON p1.k = t.k AND p1.c = t.b LEFT JOIN two p2 ON p2.k = t.k AND p2.b = t.a AND p2.c = t.b),
+  scored AS (SELECT k, CASE WHEN n3 > 0 THEN ln(n3 / x3) WHEN n2 > 0 THEN ln(n2 / x2) + CASE WHEN a IS NOT NULL THEN ln({lm.ALPHA}) ELSE 0 END
+      ELSE ln(n1 / x1) + CASE WHEN a IS NOT NULL THEN 2 * ln({lm.ALPHA}) WHEN b IS NOT NULL THEN ln({lm.ALPHA}) ELSE 0 END END AS s FROM others),
   sums AS (SELECT k, sum(s) AS s FROM scored GROUP BY k)
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(s, 0.0), 4) AS log_score, round(s / len(w), 4) AS per_word FROM docs LEFT JOIN sums USING (k)"""
 
@@ -51,20 +56,24 @@ def _chain(ids: tuple[str, ...]) -> str:
 
 
 def _licenses() -> str:
-    known = ", ".join(f"({_text(v)}, {_text(k)})" for k, v in licenses.SENTENCES.items())
-    found = [(name, f"contains(l{n}, {_text(_chain(ids))})") for n, (name, ids) in enumerate(licenses.RULES)]
+    known = ", ".join(f"({_text(v)}, {_text(k)})" for v, k in licenses.KNOWN.items())
+    alone = ", ".join(f"({_text(k)}, {_text(v)})" for k, v in licenses.ALONE.items())
+    found = [f"CASE WHEN contains(l{n}, {_text(_chain(ids))}) THEN {_text(name)} END" for n, (name, ids) in enumerate(licenses.RULES)]
     steps = "s0 AS (SELECT *, chain AS l0 FROM chained)"
     for n, (_, ids) in enumerate(licenses.RULES):
         steps += f", s{n + 1} AS (SELECT *, replace(l{n}, {_text(_chain(ids))}, '|') AS l{n + 1} FROM s{n})"
-    # A licence stands where the first of its rules that matches stands.
-    listed = ", ".join(f"CASE WHEN {hit} AND NOT ({' OR '.join(x for m, x in found[:n] if m == name) or 'FALSE'}) THEN {_text(name)} END" for n, (name, hit) in enumerate(found))
-    return rf"""WITH docs AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents), known(sentence, id) AS (VALUES {known}),
+    last = len(licenses.RULES)
+    return rf"""WITH docs AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents), known(sentence, id) AS (VALUES {known}), alone(id, name) AS (VALUES {alone}),
   cut AS (SELECT k, unnest(parts) AS s, generate_subscripts(parts, 1) AS i FROM (
     SELECT k, string_split_regex(replace(text, chr(13), ''), '[.!?]+(?:[ \t]+|\n|$)|\n') AS parts FROM docs WHERE regexp_matches(text, '{licenses.HINT}'))),
   ids AS (SELECT k, i, id FROM cut JOIN known ON known.sentence = trim(regexp_replace(lower(s), '{licenses.NOT_NORMAL}', ' ', 'g'))),
   chained AS (SELECT d.k, d.doc_id, coalesce(string_agg(id, ',' ORDER BY i), '') AS sentence_ids, coalesce(string_agg('<' || id || '>', '' ORDER BY i), '') AS chain, count(id) AS n_known
-    FROM docs d LEFT JOIN ids USING (k) GROUP BY d.k, d.doc_id), {steps}
-  SELECT doc_id, sentence_ids, array_to_string(list_filter([{listed}], lambda x: x IS NOT NULL), ',') AS licenses, n_known FROM s{len(licenses.RULES)}"""
+    FROM docs d LEFT JOIN ids USING (k) GROUP BY d.k, d.doc_id), {steps},
+  ruled AS (SELECT k, unnest(found) AS name, generate_subscripts(found, 1) AS i FROM (SELECT k, [{", ".join(found)}] AS found FROM s{last})),
+  rest AS (SELECT k, unnest(left_over) AS id, generate_subscripts(left_over, 1) + {last} AS i FROM (SELECT k, regexp_extract_all(l{last}, '<([^>]+)>', 1) AS left_over FROM s{last})),
+  named AS (SELECT k, name, min(i) AS i FROM (SELECT k, name, i FROM ruled WHERE name IS NOT NULL UNION ALL SELECT k, name, i FROM rest JOIN alone USING (id)) GROUP BY k, name),
+  listed AS (SELECT k, string_agg(name, ',' ORDER BY i) AS licenses FROM named GROUP BY k)
+  SELECT doc_id, sentence_ids, coalesce(licenses, '') AS licenses, n_known FROM s{last} LEFT JOIN listed USING (k)"""
 
 
 ORACLE["op3_license_scan"] = _licenses()
@@ -91,8 +100,8 @@ def _quality() -> str:
     n_chars, n_common = len(quality.CLASSES), len(quality.COMMON_WORDS)
     sums = lambda column, n: "[" + ", ".join(f"sum({column}[{i + 1}])" for i in range(n)) + "]"
 
-    def shares(counts: str, total: str, rest: bool) -> str:
-        listed = f"list_append({counts}, {total} - list_sum({counts}))" if rest else counts
+    def shares(counts: str, total: str) -> str:
+        listed = f"list_append({counts}, {total} - list_sum({counts}))"
         return f"list_transform({listed}, lambda v: v / {total}::DOUBLE)"
 
     def distance(p: str, q: str) -> str:
@@ -106,11 +115,11 @@ def _quality() -> str:
   counted AS (SELECT k, doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
     CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{word}')) AS lines, length(t) AS n_chars, [{chars}] AS chars, [{common}] AS common FROM docs),
-  features AS (SELECT c.*, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, list_sum(common) AS n_common FROM counted c LEFT JOIN covered USING (k)),
-  refs AS (SELECT lang, {sums('chars', n_chars)} AS rc, sum(n_chars) AS rn, {sums('common', n_common)} AS rw FROM features
+  features AS (SELECT c.*, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM counted c LEFT JOIN covered USING (k)),
+  refs AS (SELECT lang, {sums('chars', n_chars)} AS rc, sum(n_chars) AS rn, {sums('common', n_common)} AS rw, sum(n_words) AS rwn FROM features
     WHERE n_words >= {quality.MIN_WORDS} AND 20 * n_symbols <= n_words GROUP BY lang),
-  apart AS (SELECT f.*, CASE WHEN rn >= {quality.MIN_REFERENCE_CHARS} AND n_chars >= {quality.MIN_CHARS} THEN {distance(shares('chars', 'n_chars', True), shares('rc', 'rn', True))} END AS class_distance,
-    CASE WHEN rn >= {quality.MIN_REFERENCE_CHARS} AND n_common >= {quality.MIN_COMMON} THEN {distance(shares('common', 'n_common', False), shares('rw', 'list_sum(rw)', False))} END AS word_distance
+  apart AS (SELECT f.*, CASE WHEN rn >= {quality.MIN_REFERENCE_CHARS} AND n_chars >= {quality.MIN_CHARS} THEN {distance(shares('chars', 'n_chars'), shares('rc', 'rn'))} END AS class_distance,
+    CASE WHEN rn >= {quality.MIN_REFERENCE_CHARS} AND n_words >= {quality.MIN_JUDGED_WORDS} THEN {distance(shares('common', 'n_words'), shares('rw', 'rwn'))} END AS word_distance
     FROM features f LEFT JOIN refs USING (lang)),
   judged AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM apart)
   SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

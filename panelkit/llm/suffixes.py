@@ -224,7 +224,7 @@ def _answer_sieve(bucket: int, rows: pa.Table) -> Iterator[dict]:
 
 def _stream(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", S.LEVEL))) as writer:
         writer.write_table(table)
     return sink.getvalue().to_pybytes()
 

@@ -211,21 +211,22 @@ def test_suffix_rounds():
 
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_stupid_backoff(docs, rows, order):
-    count, total = Counter(), 0
-    for _, t in rows:
-        w = words(t)
-        total += len(w)
-        for n in range(1, order + 1):
-            count.update(tuple(w[k : k + n]) for k in range(len(w) - n + 1))
+    """Every document by the counts of all others."""
+    grams = lambda t: Counter(tuple(w[k : k + n]) for w in [words(t)] for n in range(1, order + 1) for k in range(len(w) - n + 1))
+    own = [grams(t) for _, t in rows]
+    every = sum(own, Counter())
+    total = sum(len(words(t)) for _, t in rows)
     want = []
-    for i, t in rows:
+    for (i, t), mine in zip(rows, own, strict=True):
         w, logs = words(t), 0.0
+        others = lambda gram, mine=mine: every[gram] - mine[gram]
         for k in range(len(w)):
             longest = min(order, k + 1)
             for n in range(longest, 0, -1):
                 gram = tuple(w[k - n + 1 : k + 1])
-                if n == 1 or count[gram] >= 2:
-                    logs += np.log(count[gram] / (count[gram[:-1]] if n > 1 else total)) + (longest - n) * np.log(0.4)
+                if n == 1 or others(gram) > 0:
+                    count, context = (others(gram), others(gram[:-1])) if n > 1 else (max(others(gram), 1), max(total - len(w), 1))
+                    logs += np.log(count / context) + (longest - n) * np.log(0.4)
                     break
         want.append((str(i), len(w), round(logs, 3)))
     got = lm.scores(docs, order=order)
@@ -269,11 +270,10 @@ def test_karmarkar_karp():
         parts = packing.karmarkar_karp(lengths, windows)
         assert sorted(i for p in parts for i in p) == list(range(40)) and len(parts) == windows
     assert sorted(sum([8, 7, 6, 5, 4][i] for i in p) for p in packing.karmarkar_karp([8, 7, 6, 5, 4], 2)) == [14, 16]
-    whole = packing.windows_of(lengths, 1024, cut=False)
-    assert all(sum(n for _, _, n in w) <= 1024 for w in whole) and sum(len(w) for w in whole) == 40
-    assert len(whole) >= len(packing.windows_of(lengths, 1024))
+    whole = packing.windows_of(lengths, 1024)
+    assert all(sum(lengths[i] for i in w) <= 1024 for w in whole) and sum(len(w) for w in whole) == 40
     with pytest.raises(ValueError):
-        packing.windows_of([2000], 1024, cut=False)
+        packing.windows_of([2000], 1024)
     assert packing.windows_of([], 1024) == []
 
 
