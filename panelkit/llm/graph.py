@@ -56,7 +56,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     last = digest(edges)
     while last[0]:
-        edges = pinned(_small_star(_large_star(edges)))
+        # Stars have no more edges than they are made of.
+        edges = pinned(_small_star(_large_star(edges)), last[0])
         now = digest(edges)
         if now == last:
             break

@@ -313,20 +313,22 @@ def components(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARI
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("_id"), "text")
     scanned = pinned(_with_sequence(rows, width))
-    seen = pinned(scanned.groupBy("_id", "_a", "_b").agg(F.count("*").alias("n_rows"), F.first("_n").alias("n"), F.first("_fp").alias("fp")))
+    total = scanned.count()
+    seen = pinned(scanned.groupBy("_id", "_a", "_b").agg(F.count("*").alias("n_rows"), F.first("_n").alias("n"), F.first("_fp").alias("fp")), total)
     # One node for each word sequence. Numbers are given once, as the table is written.
     grouped = seen.groupBy("_a", "_b").agg(F.min("_id").alias("least"), F.first("fp").alias("fp"), F.first("n").alias("n"))
-    nodes = pinned(grouped.withColumn("node", F.monotonically_increasing_id()))
-    near = fuzzy_edges(pinned(nodes.select("fp").distinct()), _pair_keys, 85, bits)
-    stars = graph.components(near.unionByName(_band_edges(scanned, nodes.count())))
+    nodes = pinned(grouped.withColumn("node", F.monotonically_increasing_id()), total)
+    count = nodes.count()
+    near = fuzzy_edges(pinned(nodes.select("fp").distinct(), count), _pair_keys, 85, bits)
+    stars = graph.components(near.unionByName(_band_edges(scanned, count)))
     clusters = stars.withColumnRenamed("node", "fp").withColumnRenamed("root", "cluster")
     # All nodes of one fingerprint are of one cluster, which has its own number where nothing else is linked to it.
-    clusters = pinned(nodes.join(clusters, "fp", "left").withColumn("cluster", F.coalesce("cluster", "fp")))
+    clusters = pinned(nodes.join(clusters, "fp", "left").withColumn("cluster", F.coalesce("cluster", "fp")), count)
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("k"), F.sum("n").alias("words")).where("k > 1")
     n_blocks = F.ceil(F.greatest(F.col("k") / BLOCK_DOCS, F.col("words") / BLOCK_SHINGLES))
     # Written before the join, so that the join is all there is after its exchanges, and a large cluster can be split.
-    sizes = pinned(sizes.select("cluster", F.greatest(F.least(n_blocks, "k"), F.lit(1)).cast("bigint").alias("n_blocks")))
-    members = pinned(clusters.join(sizes, "cluster").select(F.col("least").alias("_id"), "_a", "_b", "node", "cluster", "n_blocks"))
+    sizes = pinned(sizes.select("cluster", F.greatest(F.least(n_blocks, "k"), F.lit(1)).cast("bigint").alias("n_blocks")), count)
+    members = pinned(clusters.join(sizes, "cluster").select(F.col("least").alias("_id"), "_a", "_b", "node", "cluster", "n_blocks"), count)
     linked = graph.components(_verified(rows, members, width, similarity)).withColumnRenamed("root", "group")
     grouped = nodes.join(linked, "node", "left").withColumn("group", F.coalesce("group", "node"))
     first = grouped.groupBy("group").agg(F.min(F.struct("least", "_a", "_b")).alias("stays"))

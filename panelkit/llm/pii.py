@@ -49,25 +49,28 @@ def _person(names: str) -> str:
     """A given name, initials, particles and a surname or two; or given name and surname in capitals."""
     listed = names.split()
     mixed = rf"{_trie(listed)}(?!\p{{L}}){_INITIALS}[ ](?:(?:{'|'.join(PARTICLES.split())})[ ]){{0,2}}{_SURNAME}(?:[ ]{_SURNAME}(?![ ]?[:\d@(+]))?"
-    return rf"(?<!\p{{L}})(?:{mixed}|{_trie([n.upper() for n in listed])}[ ]\p{{Lu}}{{2,30}}(?:-\p{{Lu}}{{2,30}})?(?!\p{{L}}))"
+    # One look at the first letter spares most words all of the names.
+    initials = "".join(sorted({n[0] for n in listed}))
+    return rf"(?=[{initials}])(?:{mixed}|{_trie([n.upper() for n in listed])}[ ]\p{{Lu}}{{2,30}}(?:-\p{{Lu}}{{2,30}})?(?!\p{{L}}))"
 
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _HEX = r"[0-9A-Fa-f]{1,4}"
-#: Patterns in order of precedence. All repetitions are bounded or cannot restart inside a run, so that matching is linear.
+#: Patterns in order of precedence, of what no letter or digit stands before (``START``). All repetitions are bounded or cannot restart inside a run, so that matching is linear.
+START = r"(?<![\p{L}\p{N}])"
 PATTERNS: dict[str, str] = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}",
-    "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
-    "ipv6": rf"(?<![\w:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}}|(?:{_HEX}:){{1,7}}:|::{_HEX}(?::{_HEX}){{1,6}})(?![\w:])",
-    "phone": r"(?<![\p{L}\d])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?\d{3,4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}|\d{3}[ ]\d{3}[ ]\d{4}(?![ ]\d)|0\d{2,4}[ /]\d{6,8}|\+(?=(?:[ .()-]{0,3}\d){8,15}(?![\p{L}\d]))\d{1,3}(?:[ .-]{1,2}\d{1,4}){3,6})(?![\p{L}\d])",
-    "national_id": r"(?<![\p{L}\d-])\d{3}-\d{2}-\d{4}(?![\p{L}\d-])",
-    "iban": r"(?<![\p{L}\d])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\d])",
-    "card": r"(?<![\p{L}\d])\d(?:[ -]?\d){12,18}(?![\p{L}\d])",
-    "secret": r"(?<![\p{L}\d])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z_-]{20,64})(?![\p{L}\d])",
+    "email": r"(?<![._%+-])[\p{L}\p{N}._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}",
+    "ip": rf"(?<!\.){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
+    "ipv6": rf"(?=[0-9A-Fa-f:])(?<![_:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}}|(?:{_HEX}:){{1,7}}:|::{_HEX}(?::{_HEX}){{1,6}})(?![\w:])",
+    "phone": r"(?=[+(\d])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?\d{3,4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}|\d{3}[ ]\d{3}[ ]\d{4}(?![ ]\d)|0\d{2,4}[ /]\d{6,8}|\+(?=(?:[ .()-]{0,3}\d){8,15}(?![\p{L}\d]))\d{1,3}(?:[ .-]{1,2}\d{1,4}){3,6})(?![\p{L}\d])",
+    "national_id": r"\d{3}(?<!-\d{3})-\d{2}-\d{4}(?![\p{L}\d-])",
+    "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\d])",
+    "card": r"\d(?:[ -]?\d){12,18}(?![\p{L}\d])",
+    "secret": r"(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z_-]{20,64})(?![\p{L}\d])",
     **{k: _person(v) for k, v in GIVEN_NAMES.items()},
 }
 KINDS = list(PATTERNS)
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+ANY = START + "(?:" + "|".join(PATTERNS.values()) + ")"
 #: Kinds of numbers that are none after all stay as they are.
 KEPT = "number"
 
@@ -88,7 +91,7 @@ def entities(text: Column) -> Column:
     One pass marks each entity and the group of the pattern that found it; a null text is empty.
     """
     text = F.coalesce(text, F.lit(""))
-    grouped = "|".join(f"({p})" for p in PATTERNS.values())
+    grouped = START + "(?:" + "|".join(f"({p})" for p in PATTERNS.values()) + ")"
     marked = F.regexp_replace(text, F.lit(grouped), F.lit(_OPEN + _SLOT.join(f"${k + 1}" for k in range(len(KINDS))) + _CLOSE))
     kinds = F.array(*map(F.lit, KINDS))
 
@@ -98,9 +101,8 @@ def entities(text: Column) -> Column:
         e = F.replace(found, F.lit(_SLOT), F.lit(""))
         return F.struct(settled(e, F.element_at(kinds, at + 1)).alias("kind"), e.alias("e"), F.substring_index(part, _CLOSE, -1).alias("gap"))
 
-    parts = F.split(marked, _OPEN, -1)
     first = lambda gap: F.array(F.struct(F.lit("").alias("kind"), F.lit("").alias("e"), gap.alias("gap")))
-    quick = F.concat(first(F.element_at(parts, 1)), F.transform(F.slice(parts, F.lit(2), F.size(parts)), opened))
+    quick = _bound(F.split(marked, _OPEN, -1), lambda parts: F.concat(first(F.element_at(parts, 1)), F.transform(F.slice(parts, F.lit(2), F.size(parts)), opened)))
     gaps = F.split(text, ANY, -1)
     listed = F.zip_with(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), F.slice(gaps, F.lit(2), F.size(gaps)), lambda e, gap: F.struct(settled(e, kind_of(e)).alias("kind"), e.alias("e"), gap.alias("gap")))
     return F.when(F.rlike(text, F.lit(f"[{_OPEN}-{_CLOSE}]")), F.concat(first(F.element_at(gaps, 1)), listed)).otherwise(quick)
@@ -251,7 +253,8 @@ def exceptions(docs: DataFrame, key: str) -> DataFrame:
     Distinct entities are found map-side first; only those, never texts, are shuffled. What has no replacement of its own
     after ``ATTEMPTS`` draws gets ``CODED``.
     """
-    found = docs.select(F.explode(entities(F.col("text"))).alias("x")).where(~F.col("x.kind").isin("", KEPT))
+    # The outer form: the plain one would find all entities again to see whether there are any.
+    found = docs.select(F.explode_outer(entities(F.col("text"))).alias("x")).where(~F.col("x.kind").isin("", KEPT))
     known = pinned(found.select(F.col("x.kind").alias("kind"), canonical(F.col("x.e"), F.col("x.kind")).alias("canon")).distinct())
 
     def drawn(rows: DataFrame, attempt: int) -> DataFrame:

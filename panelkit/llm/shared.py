@@ -18,10 +18,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="panelkit-checkpoint-"))
 
 
-def pinned(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder: later reads don't recompute it, and survive lost executors."""
+#: Rows of a small table that one file of it holds, where how many it has is known.
+FILE_ROWS = 50_000
+
+
+def pinned(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` written to the shared checkpoint folder: later reads don't recompute it, and survive lost executors.
+
+    ``rows``, a bound of the rows, spares a small table hundreds of files.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(max(2, -(-rows // FILE_ROWS)))).checkpoint(eager=True)
 
 
 def release(spark: SparkSession) -> None:

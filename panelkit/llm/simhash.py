@@ -218,7 +218,7 @@ def near_duplicate_components(docs: DataFrame, bits: int = MAX_BITS, width: int
     never names a component that has another id. Repeated rows stay; other columns are ignored.
     """
     rows = pinned(fingerprints(docs, width=width, seed=seed))
-    distinct = pinned(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    distinct = pinned(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), rows.count())
     stars = graph.components(fingerprint_edges(distinct, bits))
     rooted = distinct.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
