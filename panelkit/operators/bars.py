@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,10 @@ from panelkit.operators.panel import millis
 
 MAKER = "is_buyer_maker"
 _KEYS = ("symbol", "bar_id")
+#: Milliseconds of a slot that ticks of a symbol are numbered in.
+SLOT_MS = 3_600_000
+#: Ticks that are folded one by one where bars are shorter than this, and together where they are longer.
+LONG_BAR = 48
 
 
 def _ticks(df: DataFrame, ts: str, price: str, volume: str, order: tuple[str, ...]) -> DataFrame:
@@ -127,8 +132,57 @@ class TickBar(BaseBar):
         super().__init__(df, timestamp_col, price_col, volume_col, order_cols)
 
     def _build(self) -> DataFrame:
-        number = F.row_number().over(Window.partitionBy(*_symbol_keys(self.ticks)).orderBy("_order"))
-        return self._by_id(self.ticks.withColumn("bar_id", F.floor((number - 1) / self.interval).cast("long")))
+        # Ticks are numbered slot by slot of time, after what the slots before have: no symbol is ordered in one task.
+        keys = _symbol_keys(self.ticks)
+        ticks = self.ticks.withColumn("_slot", F.floor(F.col("_ts") / SLOT_MS))
+        counts = ticks.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_n"))
+        earlier = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+        before = counts.select(*(F.col(k).alias(f"_of_{k}") for k in keys), F.col("_slot").alias("_at"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+        same = F.col("_slot").eqNullSafe(F.col("_at"))
+        for k in keys:
+            same &= F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+        number = F.col("_before") + F.row_number().over(Window.partitionBy(*keys, "_slot").orderBy("_order"))
+        rows = ticks.join(before, same).withColumn("bar_id", F.floor((number - 1) / self.interval).cast("long"))
+        return self._by_id(rows.drop("_slot", "_at", "_before", *(f"_of_{k}" for k in keys)))
+
+
+class _Fold:
+    """The sum of one symbol's ticks since its last bar, and the number of the bar. Sums are taken one tick after the other, as
+    whichever way they are taken they must be the same."""
+
+    def __init__(self, target: float):
+        self.target, self.total, self.bar, self.length = target, 0.0, 0, 2 * LONG_BAR
+
+    def take(self, amount: np.ndarray) -> np.ndarray:
+        """The bar of each tick."""
+        out, at = np.empty(len(amount), np.int64), 0
+        while at < len(amount):
+            if self.length < LONG_BAR:
+                began, first = at, self.bar
+                ids = []
+                for x in amount[at : at + 16 * LONG_BAR].tolist():
+                    ids.append(self.bar)
+                    self.total += x
+                    if self.total >= self.target:
+                        self.total, self.bar = 0.0, self.bar + 1
+                at += len(ids)
+                out[began:at] = ids
+                self.length = (at - began) // max(1, self.bar - first)
+                continue
+            sums = amount[at : at + 2 * self.length].copy()
+            sums[0] += self.total
+            np.cumsum(sums, out=sums)
+            over = sums >= self.target
+            end = int(over.argmax())
+            if over[end]:
+                out[at : at + end + 1] = self.bar
+                self.length, self.total, self.bar = max(1, end + 1), 0.0, self.bar + 1
+                at += end + 1
+            else:
+                out[at : at + len(sums)] = self.bar
+                self.total = float(sums[-1])
+                at += len(sums)
+        return out
 
 
 class _ResetBar(BaseBar):
@@ -151,18 +205,21 @@ class _ResetBar(BaseBar):
         group_at, amount_at, id_at = (names.index(c) for c in ("_group", "_amount", "bar_id"))
 
         def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            current, total, bar = (), 0.0, 0
+            current, fold = None, _Fold(target)
             for batch in batches:
-                ids = []
-                for group, amount in zip(batch.column(group_at).to_pylist(), batch.column(amount_at).to_pylist(), strict=True):
-                    if group != current:
-                        current, total, bar = group, 0.0, 0
-                    ids.append(bar)
-                    total += amount
-                    if total >= target:
-                        total, bar = 0.0, bar + 1
+                group = batch.column(group_at).dictionary_encode()
+                code, amount = group.indices.fill_null(-1).to_numpy(), batch.column(amount_at).to_numpy(zero_copy_only=False)
+                edges = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), len(code)]
+                ids = [np.zeros(0, np.int64)]
+                for low, high in zip(edges[:-1], edges[1:], strict=True):
+                    if low == high:
+                        continue
+                    own = (batch.column(group_at)[low].as_py(),)
+                    if own != current:
+                        current, fold = own, _Fold(target)
+                    ids.append(fold.take(amount[low:high]))
                 columns = list(batch.columns)
-                columns[id_at] = pa.array(ids, pa.int64())
+                columns[id_at] = pa.array(np.concatenate(ids), pa.int64())
                 yield pa.RecordBatch.from_arrays(columns, names)
 
         placed = rows.repartition("_group") if keys else rows.coalesce(1)

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from math import pi, sqrt
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkit.functions.nulls import clean
+from panelkit.functions.order import percentiles
 from panelkit.operators.factor import Factor
 
-#: Distinct symbols whose list may be broadcast to make the grid; more of them are joined as Spark sees fit.
-BROADCAST_SYMBOLS = 100_000
+#: Points of the density of a report's correlations.
+DENSITY_POINTS = 200
 
 
 def correlation(x: str, y: str) -> Column:
@@ -55,25 +59,31 @@ class FactorEvaluator:
         self.factor, self.prices, self.fill = factor, prices, fill
         self.signal = factor.df().select("end_time", "symbol", "factor")
 
-    def forward_returns(self, periods: tuple[int, ...]) -> DataFrame:
-        """``end_time``, ``symbol`` and ``return_p`` for each period, in rows of the common time grid."""
+    def forward_returns(self, periods: tuple[int, ...], at: DataFrame | None = None) -> DataFrame:
+        """``end_time``, ``symbol`` and ``return_p`` for each period, over that many of the distinct times of all prices.
+
+        Rows are those of ``at`` (default: the prices') whose time is one of the prices. Times are numbered once; each row
+        looks up the last price at its time and ``p`` times later among its symbol's, in one pass over the union of both.
+        """
         if any(p <= 0 for p in periods):
             raise ValueError("periods must be positive")
         prices = self.prices.df().select("end_time", "symbol", F.col("factor").alias("price"))
-        symbols = prices.select("symbol").distinct()
-        if symbols.limit(BROADCAST_SYMBOLS + 1).count() <= BROADCAST_SYMBOLS:
-            symbols = F.broadcast(symbols)
-        # The grid of all times and symbols is the shape of the result, not a join of rows with rows.
-        grid = prices.select("end_time").distinct().crossJoin(symbols).join(prices, ["end_time", "symbol"], "left")
-        w = Window.partitionBy("symbol").orderBy("end_time")
-        known = F.last("price", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) if self.fill else F.col("price")
-        grid = grid.withColumn("_p", known)
-        returns = [clean(F.try_divide(F.lead("_p", p).over(w), F.col("_p")) - 1).alias(f"return_{p}") for p in periods]
-        return grid.select("end_time", "symbol", *returns)
+        times = numbered_times(prices)
+        cells = (prices if at is None else at).select("end_time", "symbol").distinct().join(times, "end_time")
+        asks = cells.select("end_time", "symbol", "last", F.explode(F.array(*(F.struct(F.lit(p).alias("p"), (F.col("number") + p).alias("number")) for p in (0, *periods)))).alias("ask"))
+        asks = asks.select("end_time", "symbol", F.col("ask.p").alias("p"), F.col("ask.number").alias("number"), (F.col("ask.number") <= F.col("last")).alias("there"))
+        known = prices.where("price IS NOT NULL").join(times, "end_time").select("symbol", "number", F.struct("number", "price").alias("known"))
+        w = Window.partitionBy("symbol").orderBy("number", F.col("known").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+        found = known.unionByName(asks, allowMissingColumns=True).withColumn("known", F.last("known", ignorenulls=True).over(w)).where("p IS NOT NULL")
+        fresh = F.col("there") if self.fill else F.col("there") & (F.col("known.number") == F.col("number"))
+        found = found.withColumn("price", F.when(fresh, F.col("known.price")))
+        # The rows of a symbol are together already, so this is no exchange.
+        wide = found.groupBy("symbol", "end_time").agg(*(F.max(F.when(F.col("p") == p, F.col("price"))).alias(f"_{p}") for p in (0, *periods)))
+        return wide.select("end_time", "symbol", *(clean(F.try_divide(F.col(f"_{p}"), F.col("_0")) - 1).alias(f"return_{p}") for p in periods))
 
     def prepare(self, periods: tuple[int, ...]) -> DataFrame:
         """Every row of the signal with its forward returns."""
-        return self.signal.join(self.forward_returns(periods), ["end_time", "symbol"], "left")
+        return self.signal.join(self.forward_returns(periods, self.signal), ["end_time", "symbol"], "left")
 
     def calculate_ic(self, data: DataFrame, periods: tuple[int, ...]) -> DataFrame:
         """Per ``end_time`` the Spearman correlation of signal and return, ``IC_{p}d``, over rows that have both."""
@@ -90,29 +100,26 @@ class FactorEvaluator:
         rows = self.signal.where("factor IS NOT NULL")
         n = F.count(F.lit(1)).over(Window.partitionBy("end_time"))
         ranked = rows.select("end_time", "symbol", (average_rank("factor", "end_time") / n).alias("rank"))
-        times = self.signal.select("end_time").distinct()
-        grid = times.crossJoin(F.broadcast(self.signal.select("symbol").distinct()) if self._few_symbols() else self.signal.select("symbol").distinct())
-        dense = grid.join(ranked, ["end_time", "symbol"], "left")
-        before = F.lag("rank").over(Window.partitionBy("symbol").orderBy("end_time"))
-        pairs = dense.withColumn("before", before).where("rank IS NOT NULL AND before IS NOT NULL")
-        return times.join(pairs.groupBy("end_time").agg(correlation("rank", "before").alias("turnover")), "end_time", "left")
-
-    def _few_symbols(self) -> bool:
-        return self.signal.select("symbol").distinct().limit(BROADCAST_SYMBOLS + 1).count() <= BROADCAST_SYMBOLS
+        times = numbered_times(self.signal)
+        rows = ranked.join(times, "end_time")
+        w = Window.partitionBy("symbol").orderBy("number")
+        # The row before counts only if it is of the time before.
+        rows = rows.withColumn("before", F.when(F.lag("number").over(w) == F.col("number") - 1, F.lag("rank").over(w)))
+        pairs = rows.where("before IS NOT NULL")
+        return times.select("end_time").join(pairs.groupBy("end_time").agg(correlation("rank", "before").alias("turnover")), "end_time", "left")
 
     def run_layer_test(self, data: DataFrame, periods: tuple[int, ...], quantiles: int = 5) -> DataFrame:
         """Mean return by ``quantile`` of the signal over the whole sample; equal edges merge, as do their layers."""
         if quantiles < 1:
             raise ValueError("quantiles must be positive")
-        shares = [k / quantiles for k in range(quantiles + 1)]
-        edges = data.agg(F.array_distinct(F.percentile("factor", F.array(*map(F.lit, shares)))).alias("edges"))
-        below = F.size(F.filter("edges", lambda e: e < F.col("factor")))
-        # One row of quantiles against all rows.
-        rows = data.where("factor IS NOT NULL").crossJoin(F.broadcast(edges)).where(F.size("edges") > 1)
+        edges = list(dict.fromkeys(percentiles(data, "factor", [k / quantiles for k in range(quantiles + 1)])))
+        rows = data.where(F.col("factor").isNotNull() & F.lit(len(edges) > 1))
+        below = reduce(lambda total, e: total + F.when(F.col("factor") > e, 1).otherwise(0), edges, F.lit(0))
         rows = rows.withColumn("quantile", F.greatest(below - 1, F.lit(0)).cast("long"))
         return rows.groupBy("quantile").agg(*(F.avg(f"return_{p}").alias(f"return_{p}") for p in periods))
 
-    def run_full_report(self, periods: tuple[int, ...] = (1, 5, 10), quantiles: int = 5) -> Report:
+    def run_full_report(self, periods: tuple[int, ...] = (1, 5, 10), quantiles: int = 5, save_path: str | Path | None = None) -> Report:
+        """The report; with ``save_path`` its figure is drawn as well, for which matplotlib is needed."""
         data = self.prepare(tuple(periods))
         ic, turnover = self.calculate_ic(data, periods), self.calculate_turnover()
         layers = self.run_layer_test(data, periods, quantiles)
@@ -121,7 +128,7 @@ class FactorEvaluator:
         ratio = lambda m, s: m / s if m is not None and s else None
         ends = layers.agg(*(F.max_by(f"return_{p}", "quantile").alias(f"top_{p}") for p in periods), *(F.min_by(f"return_{p}", "quantile").alias(f"low_{p}") for p in periods)).first()
         gap = lambda a, b: a - b if a is not None and b is not None else None
-        return Report(
+        report = Report(
             ic_series=ic,
             turnover_series=turnover,
             layer_returns=layers,
@@ -130,3 +137,72 @@ class FactorEvaluator:
             turnover_mean=turnover.agg(F.avg("turnover")).first()[0],
             spread={f"return_{p}": gap(ends[f"top_{p}"], ends[f"low_{p}"]) for p in periods},
         )
+        if save_path is not None:
+            draw_report(report, save_path, self.factor.name)
+        return report
+
+
+def numbered_times(df: DataFrame) -> DataFrame:
+    """The distinct ``end_time`` of some rows, their ``number`` in order and the ``last`` one; a row for each time of bars, whatever the symbols."""
+    times = df.select("end_time").distinct()
+    return times.select("end_time", F.row_number().over(Window.orderBy("end_time")).alias("number"), F.count(F.lit(1)).over(Window.partitionBy()).alias("last"))
+
+
+def density(df: DataFrame, columns: list[str], points: int, margin: float) -> DataFrame:
+    """``column``, ``x`` and ``density``: Gaussian kernel densities (bandwidth by Scott's rule) of some columns on one grid of ``points``.
+
+    The grid reaches ``margin`` of the common range beyond it, or 0.1 where all values are equal. A column of fewer than two
+    or of equal values has no density. Every value adds to every point map-side, and sums meet by point.
+    """
+    long = df.unpivot([], columns, "column", "v").where("v IS NOT NULL")
+    ends = long.agg(F.min("v").alias("low"), F.max("v").alias("high")).first()
+    if ends.low is None:
+        return long.select("column", F.col("v").alias("x"), F.col("v").alias("density"))
+    room = margin * (ends.high - ends.low) if ends.high > ends.low else 0.1
+    low, step = ends.low - room, (ends.high - ends.low + 2 * room) / (points - 1)
+    widths = {r.column: r.s * r.n**-0.2 for r in long.groupBy("column").agg(F.stddev_samp("v").alias("s"), F.count(F.lit(1)).alias("n")).collect() if r.n > 1 and r.s}
+    if not widths:
+        return long.select("column", F.col("v").alias("x"), F.col("v").alias("density")).limit(0)
+    width = F.create_map(*(F.lit(x) for pair in widths.items() for x in pair))
+    x = F.lit(low) + F.col("k") * step
+    spread = long.withColumn("h", F.try_element_at(width, F.col("column"))).where("h IS NOT NULL").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    part = F.exp(-0.5 * F.pow((x - F.col("v")) / F.col("h"), 2)) / (F.col("h") * sqrt(2 * pi))
+    return spread.groupBy("column", "k").agg(F.avg(part).alias("density")).select("column", x.alias("x"), "density")
+
+
+def report_data(report: Report) -> dict[str, DataFrame]:
+    """The data of a report's figure: correlations and turnover over time, layers of the longest period, densities of the correlations."""
+    names = [c for c in report.ic_series.columns if c != "end_time"]
+    last = report.layer_returns.columns[-1]
+    return {
+        "ic": report.ic_series,
+        "layers": report.layer_returns.select("quantile", F.col(last).alias("mean_return")),
+        "density": density(report.ic_series, names, DENSITY_POINTS, 0.1),
+        "turnover": report.turnover_series.where("turnover IS NOT NULL"),
+    }
+
+
+def draw_report(report: Report, path: str | Path, name: str = "factor") -> None:
+    """The figure of a report, two by two, as an image file."""
+    try:
+        from matplotlib.figure import Figure
+    except ImportError as e:
+        raise RuntimeError("drawing needs matplotlib; report_data gives the data of the figure without it") from e
+    data = {k: v.toPandas() for k, v in report_data(report).items()}
+    figure = Figure(figsize=(15, 12))
+    figure.suptitle(f"Evaluation of {name}")
+    (ic_axes, layer_axes), (density_axes, turnover_axes) = figure.subplots(2, 2)
+    ic = data["ic"].sort_values("end_time")
+    for column in ic.columns[1:]:
+        ic_axes.plot(ic["end_time"], ic[column], label=column)
+    layers = data["layers"].sort_values("quantile")
+    layer_axes.bar(layers["quantile"], layers["mean_return"])
+    for column, own in data["density"].sort_values("x").groupby("column"):
+        density_axes.plot(own["x"], own["density"], label=column)
+    turnover = data["turnover"].sort_values("end_time")
+    turnover_axes.plot(turnover["end_time"], turnover["turnover"])
+    for axes, title in ((ic_axes, "Rank correlation"), (layer_axes, "Layers, longest period"), (density_axes, "Density of the correlations"), (turnover_axes, "Rank autocorrelation")):
+        axes.set_title(title)
+        if axes in (ic_axes, density_axes):
+            axes.legend()
+    figure.savefig(path)

@@ -351,6 +351,8 @@ class Factor:
             raise TypeError(f"{kind} needs another factor")
         _window(window)
         a, b = self._aligned(other)
+        if a.panel is not self.panel and a.panel.df.isEmpty():
+            raise ValueError("No common data between factors")
         return a._rolling((kind, window), lambda f, x, y: make(f, x, y, window), f"{kind}({self.name},{other.name},{window})", b)
 
     def ts_corr(self, other: Factor, window: int) -> Factor:
@@ -385,10 +387,11 @@ class Factor:
 
     # Evaluation and plots
 
-    def eval(self, prices: Factor, periods: tuple[int, ...] = (1, 5, 10), quantiles: int = 5):
+    def eval(self, prices: Factor, periods: tuple[int, ...] = (1, 5, 10), quantiles: int = 5, save_path=None, **options):
+        """The report of this signal against prices; ``save_path`` draws its figure, ``options`` are those of the evaluator."""
         from panelkit.operators.evaluate import FactorEvaluator
 
-        return FactorEvaluator(self, prices).run_full_report(periods, quantiles)
+        return FactorEvaluator(self, prices, **options).run_full_report(periods, quantiles, save_path)
 
     def plot(self, plot_type: str = "timeseries", **options):
         from panelkit.operators.plotdata import FactorPlotter

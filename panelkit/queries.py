@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from panelkit.functions import normal
 from panelkit.operators.bars import DollarBar, TickBar, TimeBar, VolumeBar
-from panelkit.operators.evaluate import FactorEvaluator
+from panelkit.operators.evaluate import FactorEvaluator, report_data
 from panelkit.operators.factor import Factor
 from panelkit.operators.panel import Panel
 from panelkit.operators.plotdata import FactorPlotter
@@ -310,6 +310,27 @@ def _two_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _add("f_join_two_panels", _two_panels, f"WITH {PANEL_SQL} SELECT symbol, start_time, end_time, round(close - open, 6) + 0.0 AS factor FROM panel WHERE symbol = 'view'")
 
+
+
+def _joined(name: str, make: Callable[[Panel, Panel], Factor], sql: str) -> None:
+    """A factor of two panels that share one symbol."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        p = panel(spark, sf_dir)
+        return rounded(make(p.slice(symbols=["click", "view"]), p.slice(symbols=["view", "purchase"])).df())
+
+    _add(name, query, f"WITH {PANEL_SQL}, common AS (SELECT * FROM panel WHERE symbol = 'view') SELECT symbol, start_time, end_time, round(CAST({sql} AS DOUBLE), {DIGITS}) + 0.0 AS factor FROM common")
+
+
+_joined("f_join_compare", lambda a, b: a["x"] < b["open"], "coalesce(x < open, FALSE)")
+_joined("f_join_not_equal", lambda a, b: a["x"] != b["close"], "coalesce(x <> close, TRUE)")
+_joined("f_join_max", lambda a, b: a["x"].max(b["open"]), "CASE WHEN x IS NOT NULL AND open IS NOT NULL THEN greatest(x, open) END")
+_joined("f_join_pow", lambda a, b: (a["z"].abs() + 1).pow(b["tie"]), "pow(abs(z) + 1, tie)")
+_joined("f_join_signed_pow", lambda a, b: a["z"].signed_pow(b["tie"]), "sign(z) * pow(abs(z), tie)")
+_joined("f_join_where", lambda a, b: a["x"].where(b["z"] > 0, b["open"]), "CASE WHEN z > 0 THEN x ELSE open END")
+_joined("f_join_corr", lambda a, b: a["x"].ts_corr(b["tie"], N), _full(_CORR.format(x="x", y="tie", w=W), "x", "tie"))
+_joined("f_join_cov", lambda a, b: a["x"].ts_cov(b["volume"], N), _full(f"covar_samp(x, volume) OVER {W}", "x", "volume"))
+
 # Expressions
 
 _MOMENTUM = _DIV.format(x=f"(close - lag(close, 5) OVER {_S})", y=f"(lag(close, 5) OVER {_S})")
@@ -402,6 +423,16 @@ _SUMMARY = " UNION ALL ".join(
 )
 _add("ev_summary", _summary, f"WITH {PANEL_SQL}, {_DATA}, {_ICS}, {_TURN}, {_LAYERS}, named AS ({_SUMMARY}) SELECT name, {_round_sql(['value'])} FROM named")
 
+_KERNEL = "exp(-0.5 * pow((x - v) / h, 2)) / (h * sqrt(2 * pi()))"
+_LONG = " UNION ALL ".join(f"SELECT 'IC_{k}d' AS \"column\", IC_{k}d AS v FROM ics WHERE IC_{k}d IS NOT NULL" for k in PERIODS)
+_add(
+    "ev_report_density",
+    lambda s, d: rounded(report_data((e := _evaluator(s, d)).run_full_report(PERIODS, 5))["density"]),
+    f"""WITH {PANEL_SQL}, {_DATA}, {_ICS}, long AS ({_LONG}), ends AS (SELECT min(v) AS lo, max(v) AS hi, 0.1 * (max(v) - min(v)) AS room FROM long),
+      points AS (SELECT k, lo - room + k * ((hi - lo + 2 * room) / 199) AS x FROM ends, range(200) t(k)), widths AS (SELECT "column", stddev_samp(v) * pow(count(*), -0.2) AS h FROM long GROUP BY ALL)
+      SELECT "column", round(x, {DIGITS}) + 0.0 AS x, round(avg({_KERNEL}), {DIGITS}) + 0.0 AS density FROM long JOIN widths USING ("column") CROSS JOIN points GROUP BY "column", k, x""",
+)
+
 # Stores and files
 
 
@@ -460,6 +491,21 @@ _add(
     lambda s, d: rounded(FactorPlotter(panel(s, d)["volume"]).plot("distribution")),
     f'WITH {PANEL_SQL}, {_HIST} SELECT bin, round(lo + bin * w, 6) + 0.0 AS "left", round(lo + (bin + 1) * w, 6) + 0.0 AS "right", count(*) AS n FROM binned GROUP BY ALL',
 )
+_add(
+    "plot_density_curve",
+    lambda s, d: rounded(FactorPlotter(panel(s, d)["volume"]).plot("distribution", dist_type="kde")),
+    f"""WITH {PANEL_SQL}, h AS (SELECT volume AS f, min(volume) OVER () AS lo, max(volume) OVER () AS hi, count(*) OVER () AS rows FROM panel),
+      cells AS (SELECT least(floor((f - lo) * 4096 / (hi - lo)), 4095) AS cell, lo, hi, rows, count(*) AS n, avg(f) AS v FROM h GROUP BY ALL), width AS (SELECT stddev_samp(volume) * pow(count(*), -0.2) AS h FROM panel),
+      points AS (SELECT n, rows, v, h, k, lo + (hi - lo) * (k * (2.0::DOUBLE / 999) - 0.5) AS x FROM cells, width, range(1000) t(k))
+      SELECT round(x, {DIGITS}) + 0.0 AS x, round(sum(n / rows * {_KERNEL}), {DIGITS}) + 0.0 AS density FROM points GROUP BY k, x""",
+)
+_add(
+    "plot_hist_by_symbol",
+    lambda s, d: rounded(FactorPlotter(panel(s, d)["volume"]).plot("distribution", symbols=["click", "view"])),
+    f"""WITH {PANEL_SQL}, h AS (SELECT symbol, volume, min(volume) OVER (PARTITION BY symbol) AS lo, max(volume) OVER (PARTITION BY symbol) AS hi FROM panel WHERE symbol IN ('click', 'view')),
+      binned AS (SELECT symbol, CAST(least(floor((volume - lo) * 30 / (hi - lo)), 29) AS BIGINT) AS bin, lo, (hi - lo) / 30 AS w FROM h)
+      SELECT symbol, bin, round(lo + bin * w, 6) + 0.0 AS "left", round(lo + (bin + 1) * w, 6) + 0.0 AS "right", count(*) AS n FROM binned GROUP BY ALL""",
+)
 _add(
     "plot_timeseries_data",
     lambda s, d: rounded(FactorPlotter(panel(s, d)["x"]).plot("TimeSeries", symbols=["click"], end_time="2024-01-05")),

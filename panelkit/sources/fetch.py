@@ -14,13 +14,16 @@ import logging
 import time
 import urllib.request
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from pathlib import Path
 
 from panelkit.sources.store import DATA_TYPES, FUTURES, MARKETS, build_hive_path, csv_to_parquet, date_range, get_market_string
 
 log = logging.getLogger(__name__)
+#: Bytes that go to the file system at a time.
+PART_BYTES = 4 << 20
 
 
 def validate(data_type: str, market_type: str, futures_type: str) -> str:
@@ -51,10 +54,13 @@ def http_get(url: str) -> bytes:
 
 
 class Fetcher:
-    """Downloads, verifies and converts days; days that fail after all attempts are logged and returned."""
+    """Downloads, verifies and converts days; days that fail after all attempts are logged and returned.
 
-    def __init__(self, spark, base: str | Path, url_template: str, work_dir: str | Path, get: Callable[[str], bytes] = http_get, max_concurrent: int = 5, retry_attempts: int = 3, retry_delay: float = 1.0):
-        self.spark, self.base, self.template, self.work = spark, base, url_template, Path(work_dir)
+    ``work_dir`` is a folder that the executors see, as they read the files there; default is one in the store.
+    """
+
+    def __init__(self, spark, base: str | Path, url_template: str, work_dir: str | Path | None = None, get: Callable[[str], bytes] = http_get, max_concurrent: int = 5, retry_attempts: int = 3, retry_delay: float = 1.0):
+        self.spark, self.base, self.template, self.work = spark, base, url_template, str(work_dir or f"{base}/.fetch")
         self.get, self.max_concurrent, self.attempts, self.delay = get, max_concurrent, retry_attempts, retry_delay
 
     def _one(self, symbol: str, data_type: str, market: str, day: dt.date) -> bool:
@@ -64,11 +70,10 @@ class Fetcher:
                 data = self.get(url)
                 if not verify_checksum(data, self.get(f"{url}.CHECKSUM").decode()):
                     raise ValueError("checksum mismatch")
-                csv = self.work / f"{symbol}-{data_type}-{day}.csv"
-                csv.parent.mkdir(parents=True, exist_ok=True)
-                csv.write_bytes(extract_csv(data))
-                csv_to_parquet(self.spark, csv, build_hive_path(self.base, market, data_type, symbol, day.year, day.month, day.day), data_type=data_type)
-                csv.unlink()
+                csv = f"{self.work}/{symbol}-{data_type}-{day}.csv"
+                with self._file(csv) as put:
+                    put(extract_csv(data))
+                    csv_to_parquet(self.spark, csv, build_hive_path(self.base, market, data_type, symbol, day.year, day.month, day.day), data_type=data_type)
                 return True
             except (OSError, ValueError, zipfile.BadZipFile) as e:
                 log.warning("%s, attempt %d: %s", url, attempt + 1, e)
@@ -77,6 +82,23 @@ class Fetcher:
         log.error("%s: given up", url)
         return False
 
+    @contextmanager
+    def _file(self, path: str) -> Iterator[Callable[[bytes], None]]:
+        """Writes a file to the file system of its path, and deletes it afterwards."""
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        system = place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+        def put(data: bytes) -> None:
+            out = system.create(place, True)
+            for k in range(0, len(data), PART_BYTES):
+                out.write(bytearray(data[k : k + PART_BYTES]))
+            out.close()
+
+        try:
+            yield put
+        finally:
+            system.delete(place, False)
+
     def __call__(self, symbol: str, data_type: str, market: str, days: list[dt.date]) -> list[dt.date]:
         with ThreadPoolExecutor(self.max_concurrent) as pool:
             done = list(pool.map(lambda d: self._one(symbol, data_type, market, d), days))
@@ -105,7 +127,7 @@ def main(argv: list[str] | None = None) -> int:
     args = parse_args(argv)
     market = validate(args.data_type, args.market_type, args.futures_type)
     start, end = date_range(*(args.date_range.split(":") if args.date_range else (None, None)), days=args.days)
-    fetcher = Fetcher(SparkSession.builder.getOrCreate(), args.path, args.url, Path(args.path) / ".fetch", max_concurrent=args.max_concurrent, retry_attempts=args.retry_attempts, retry_delay=args.retry_delay)
+    fetcher = Fetcher(SparkSession.builder.getOrCreate(), args.path, args.url, max_concurrent=args.max_concurrent, retry_attempts=args.retry_attempts, retry_delay=args.retry_delay)
     return int(bool(fetcher(args.symbol, args.data_type, market, day_list(start, end))))
 
 

@@ -88,16 +88,21 @@ class Store:
     fetch: Callable[[str, str, str, list[dt.date]], None] | None = None
 
     def _exists(self, path: str) -> bool:
+        """Whether a folder has a file of data; one that is empty or holds only marks of a write does not count."""
         jvm = self.spark.sparkContext._jvm
         place = jvm.org.apache.hadoop.fs.Path(path)
-        return place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+        system = place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return system.exists(place) and any(not f.getPath().getName().startswith(("_", ".")) and f.getLen() > 0 for f in system.listStatus(place))
 
     def missing_days(self, symbol: str, data_type: str, market: str, start: dt.datetime, end: dt.datetime) -> list[dt.date]:
         days = [(start + dt.timedelta(days=k)).date() for k in range((end.date() - start.date()).days)]
         return [d for d in days if not self._exists(build_hive_path(self.base, market, data_type, symbol, d.year, d.month, d.day))]
 
-    def load_ticks(self, symbols: str | list[str], data_type: str = "aggTrades", market_type: str = "spot", futures_type: str = "cm", start_date=None, end_date=None, days: int | None = None, columns: list[str] | None = None) -> DataFrame:
-        """Ticks of all symbols in one scan; ``symbol`` is kept whatever ``columns`` says. Days without a file are fetched first, if there is a way to."""
+    def load_ticks(self, symbols: str | list[str], data_type: str = "aggTrades", market_type: str = "spot", futures_type: str = "cm", start_date=None, end_date=None, days: int | None = None, columns: list[str] | None = None, force_download: bool = False) -> DataFrame:
+        """Ticks of all symbols in one scan; ``symbol`` is kept whatever ``columns`` says.
+
+        Days without a file are fetched first, if there is a way to; with ``force_download`` all days are.
+        """
         if data_type not in DATA_TYPES:
             raise ValueError(f"unknown data type: {data_type}")
         named = [symbols] if isinstance(symbols, str) else list(symbols)
@@ -107,8 +112,11 @@ class Store:
         start, end = date_range(start_date, end_date, days)
         if self.fetch is not None:
             for symbol in named:
-                if gaps := self.missing_days(symbol, data_type, market, start, end):
+                every = [(start + dt.timedelta(days=k)).date() for k in range((end.date() - start.date()).days)]
+                if gaps := every if force_download else self.missing_days(symbol, data_type, market, start, end):
                     self.fetch(symbol, data_type, market, gaps)
+        elif force_download:
+            raise ValueError("there is no way to fetch: the store has no fetcher")
         where = (F.col("market") == market) & (F.col("data_type") == data_type) & F.col("symbol").isin(named) & date_filter(start, end)
         df = read_hive_parquet(self.spark, self.base, None, where)
         return df.select(*dict.fromkeys([*columns, "symbol"])) if columns else df
@@ -147,10 +155,15 @@ def csv_to_parquet(spark: SparkSession, path: str | Path, output_dir: str | Path
 
 
 def write_store(ticks: DataFrame, base: str | Path, market: str, data_type: str, timestamp_col: str, compression: str = "zstd") -> str:
-    """Ticks with a ``symbol`` as a partitioned store, months and days padded to two digits."""
+    """Ticks with a ``symbol`` as a partitioned store, months and days padded to two digits.
+
+    The days of a symbol that are written take the place of what the store had of them; other days stay. A large day may
+    have several files.
+    """
     at = F.timestamp_millis(F.col(timestamp_col))
     pad = lambda c: F.lpad(c.cast("string"), 2, "0")
     parts = {"market": F.lit(market), "data_type": F.lit(data_type), "year": F.year(at).cast("string"), "month": pad(F.month(at)), "day": pad(F.dayofmonth(at))}
     rows = ticks.withColumns(parts)
-    rows.repartition("symbol", "year", "month", "day").write.mode("append").option("compression", compression).partitionBy(*PARTITIONS).parquet(str(base))
+    dealt = rows.hint("rebalance", "symbol", "year", "month", "day")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", compression).partitionBy(*PARTITIONS).parquet(str(base))
     return str(base)
