@@ -183,14 +183,18 @@ def tokenizer_encoder(path: str, by_words: bool = False) -> Callable[[list[str]]
         for p in parts:
             if p is not None:
                 p[:2] = ["\0 " + p[1]]
-        rest = learn(set().union(*(p for p in parts if p is not None)))
+        # Most texts have only words that are remembered; the words of the others are learnt together.
+        found: list[bytes | None] = []
         for text, p in zip(texts, parts, strict=True):
-            if p is None:
-                raw = whole([text])[0]
-            elif rest is known:
-                raw = b"".join(map(known.__getitem__, p))
-            else:
-                raw = b"".join([known[w] if w in known else rest[w] for w in p])
+            try:
+                found.append(whole([text])[0] if p is None else b"".join(map(known.__getitem__, p)))
+            except KeyError:
+                found.append(None)
+        open_texts = [k for k, raw in enumerate(found) if raw is None]
+        rest = learn(set().union(*(parts[k] for k in open_texts))) if open_texts else known
+        for k in open_texts:
+            found[k] = b"".join(map(known.__getitem__, parts[k])) if rest is known else b"".join([known[w] if w in known else rest[w] for w in parts[k]])
+        for raw in found:
             yield np.frombuffer(raw + end, np.uint32)
 
     return encode
