@@ -272,17 +272,17 @@ def _block_edges(rows: DataFrame, width: int, similarity: float) -> DataFrame:
     return ordered.mapInArrow(run, "a bigint, b bigint")
 
 
-def _texts(rows: DataFrame, members: DataFrame) -> DataFrame:
-    """``node``, ``cluster``, ``n_blocks`` and ``text`` of the rows whose id and words are those of a member."""
-    wanted = members.withColumnsRenamed({"_a": "wanted_a", "_b": "wanted_b"})
-    return _with_sequence(rows.join(wanted, "_id")).where("_a = wanted_a AND _b = wanted_b").select("node", "cluster", "n_blocks", "text")
+def _texts(rows: DataFrame, members: DataFrame, repeated: bool) -> DataFrame:
+    """``node``, ``cluster``, ``n_blocks`` and ``text`` of the rows that are members, by id and words; where rows are ``repeated``, of one of each."""
+    found = _with_sequence(rows).join(members, ["_id", "_a", "_b"]).select("node", "cluster", "n_blocks", "text")
+    return found.dropDuplicates(["node"]) if repeated else found
 
 
-def _verified(rows: DataFrame, members: DataFrame, width: int, similarity: float) -> DataFrame:
+def _verified(rows: DataFrame, members: DataFrame, repeated: bool, width: int, similarity: float) -> DataFrame:
     """Edges between members (``_id, _a, _b, node, cluster, n_blocks``) whose components are those of all similar pairs of a cluster."""
 
     def placed(some: DataFrame) -> DataFrame:
-        return _texts(rows, some).withColumns({"block": F.pmod(F.xxhash64("node"), F.col("n_blocks")), "sent": F.lit(False)})
+        return _texts(rows, some, repeated).withColumns({"block": F.pmod(F.xxhash64("node"), F.col("n_blocks")), "sent": F.lit(False)})
 
     edges = pinned(_block_edges(placed(members.where("n_blocks = 1")), width, similarity))
     large = members.where("n_blocks > 1")
@@ -329,7 +329,8 @@ def components(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARI
     # Written before the join, so that the join is all there is after its exchanges, and a large cluster can be split.
     sizes = pinned(sizes.select("cluster", F.greatest(F.least(n_blocks, "k"), F.lit(1)).cast("bigint").alias("n_blocks")), count)
     members = pinned(clusters.join(sizes, "cluster").select(F.col("least").alias("_id"), "_a", "_b", "node", "cluster", "n_blocks"), count)
-    linked = graph.components(_verified(rows, members, width, similarity)).withColumnRenamed("root", "group")
+    repeated = not seen.where("n_rows > 1").isEmpty()
+    linked = graph.components(_verified(rows, members, repeated, width, similarity)).withColumnRenamed("root", "group")
     grouped = nodes.join(linked, "node", "left").withColumn("group", F.coalesce("group", "node"))
     first = grouped.groupBy("group").agg(F.min(F.struct("least", "_a", "_b")).alias("stays"))
     named = grouped.join(first, "group").select("_a", "_b", "stays")

@@ -105,6 +105,15 @@ def test_edges_of_a_large_cluster_grow_in_proportion_to_it(spark, monkeypatch, n
     assert sum(e.count() for e in made) <= 4 * n
 
 
+def test_many_rows_without_an_id(spark):
+    """Rows without an id share none: each text among them is compared once, whatever their number."""
+    base = [f"word{k}" for k in range(60)]
+    near = [" ".join([*base[:j], f"other{j}", *base[j + 1 :]]) for j in range(0, 60, 3)]
+    rows = [(None, t) for t in near for _ in range(5)] + [(None, f"text {k} that is like no other one {k} of all {k}") for k in range(100)] + [(4, near[0]), (4, near[0])]
+    kept = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id is None, r.text.split()[0]) for r in kept) == [(False, "other0")] + [(True, "text")] * 100
+
+
 def test_star_edges_span_what_the_edges_span():
     rng = np.random.default_rng(6)
     a, b = rng.integers(0, 1 << 62, 400).astype(np.uint64)[rng.integers(0, 400, (2, 300))]
