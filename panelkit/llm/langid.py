@@ -24,6 +24,8 @@ from panelkit.llm.textscan import chunks, text_buffer
 
 #: Distinct labelled texts of each language that the text model is fitted on, at most.
 SAMPLE_TEXTS = 1_250
+#: Labels whose counts may be broadcast.
+BROADCAST_LANGUAGES = 10_000
 #: The declared language of a page; bounded, so that a page full of opening tags takes no long scan from each.
 DECLARED = r"(?i)<html\b[^>]{0,1000}?\blang\s{0,20}=\s{0,20}[\"']?([A-Za-z]{2,3})"
 _BUCKETS = 1 << 14
@@ -74,7 +76,9 @@ def fit(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> TextModel:
     """A text model from at most ``sample_texts`` distinct whole texts of each ``lang``, picked by a hash of their content."""
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64("lang", "text").alias("h"))
     # About twice the sample of a language passes a threshold of the hash, so that no task orders more than a few times its size.
-    counts = labelled.groupBy(F.col("lang").alias("_lang")).agg(F.approx_count_distinct("h").alias("n"))
+    counts = pinned(labelled.groupBy(F.col("lang").alias("_lang")).agg(F.approx_count_distinct("h").alias("n")))
+    # Broadcast, so that texts are thinned out where they are read; labels beyond any number of languages are joined.
+    counts = F.broadcast(counts) if counts.count() <= BROADCAST_LANGUAGES else counts
     share = F.least(F.lit(1.0), F.lit(2.0 * sample_texts + 100) / F.col("n")) * (1 << 30)
     passed = labelled.join(counts, F.col("lang") == F.col("_lang")).where(F.pmod("h", F.lit(1 << 30)) < share)
     # Copies of a text are one; the hash is of the whole text.
