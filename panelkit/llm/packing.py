@@ -89,7 +89,7 @@ class _Packer:
         self.out: list[tuple] = []
 
     def made(self, doc, start: int, ids: np.ndarray, total: int, offset: int) -> tuple:
-        return doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), total, self.sequence, offset, ids
+        return doc, start, len(ids), zlib.crc32(ids.astype("<u4", copy=False)), total, self.sequence, offset, ids
 
     def add(self, doc, ids: np.ndarray) -> None:
         total, start = len(ids), 0
@@ -123,7 +123,7 @@ class _Packer:
 
 
 #: Distinct words that a Python worker remembers; further ones are encoded whenever they come.
-REMEMBERED = 1_000_000
+REMEMBERED = 2_000_000
 _MARKS = re.compile(r"[!-&(-/:-@\[-`{-~]+$")
 #: White space other than the space and the line end.
 _OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
@@ -152,6 +152,15 @@ def tokenizer_encoder(path: str, by_words: bool = False) -> Callable[[list[str]]
     known: dict[str, bytes] = {}
     marks: dict[str, bytes] = {}
 
+    def lines(words: list[str]) -> list[bytes]:
+        """The ids of some words without white space inside, encoded as the lines of one text; one by one where that doesn't come apart."""
+        ids = np.array(one.encode("\n".join(words), add_special_tokens=False).ids, np.uint32)
+        cuts = 4 * np.flatnonzero(ids == np.frombuffer(line, np.uint32)[0])
+        if len(line) != 4 or len(cuts) != len(words) - 1:
+            return whole(words)
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)], strict=True)]
+
     def spelled(word: str) -> str:
         return word[1:] if word[0] == "\n" else word[2:] if word.startswith("\0 ") else " " + word
 
@@ -162,10 +171,10 @@ def tokenizer_encoder(path: str, by_words: bool = False) -> Callable[[list[str]]
         # Letters and the marks after them are pre-tokens of their own: what is new is mostly letters alone.
         cut = {w: (w[: m.start()], m[0]) for w in new if (m := _MARKS.search(w)) and w[: m.start()].isalpha()}
         plain = {a for a, _ in cut.values()}.difference(known).union(new.difference(cut))
-        for w, raw in zip(plain, whole([spelled(w) for w in plain]), strict=True):
+        for w, raw in zip(plain, lines([spelled(w) for w in plain]) if plain else [], strict=True):
             found[w] = line + raw if w[0] == "\n" else raw
         missing = list({b for _, b in cut.values()}.difference(marks))
-        marks.update(zip(missing, whole(missing), strict=True))
+        marks.update(zip(missing, lines(missing) if missing else [], strict=True))
         found.update((w, (known[a] if a in known else found[a]) + marks[b]) for w, (a, b) in cut.items())
         return found
 
