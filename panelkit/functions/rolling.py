@@ -140,6 +140,18 @@ def ts_vr(f: Frame, one: Column, many: Column, n: int, k: int) -> Column:
     return safe_div(F.pow(ts_std(f, many, n), F.lit(2.0)), k * F.pow(ts_std(f, one, n), F.lit(2.0)) + EPSILON)
 
 
+def of_series(function: Callable) -> Callable[[Column], Column]:
+    """A function of a pandas series to a number as an aggregate; values of a window go to Python in Arrow batches."""
+    import pandas as pd
+
+    def aggregate(values):
+        return float(function(values))
+
+    # Annotations of this module are text, which the kind of the function can't be read from.
+    aggregate.__annotations__ = {"values": pd.Series, "return": float}
+    return F.pandas_udf(aggregate, "double")
+
+
 def cs_guarded(f: Frame, x: Column, w: Window, value: Column) -> Column:
     """One missing value voids the cross-section."""
     return F.when(f.pull(F.count(x).over(w)) == f.pull(F.count(F.lit(1)).over(w)), value)

@@ -275,8 +275,21 @@ class Factor:
     def median(self, validate: bool = False) -> Factor:
         return self._across("median", lambda f, x, w: f.pull(F.percentile(x, 0.5).over(w)), validate)
 
+    def cs_apply(self, function: Callable) -> Factor:
+        """A function of the pandas series of a cross-section to one number for all its rows; missing where a value is missing."""
+        aggregate = rolling.of_series(function)
+        return self._across(f"apply_{id(function)}", lambda f, x, w: f.pull(aggregate(x).over(w)), False)
+
     # Functions of a symbol's last rows
 
+    def ts_apply(self, function: Callable, window: int) -> Factor:
+        """A function of the pandas series of the last ``window`` values to a number; missing where a value of them is missing.
+
+        For what no operator here does: values go through Python, window by window.
+        """
+        aggregate = rolling.of_series(function)
+        return self._last(f"ts_apply_{id(function)}", window, lambda f, x, n: F.when(f.full(x, n), f.pull(aggregate(x).over(f.last(n)))))
+
     def _last(self, kind: str, window: int, make: Callable[..., Column]) -> Factor:
         _window(window)
         return self._rolling((kind, window), lambda f, x: make(f, x, window), f"{kind}({self.name},{window})")

@@ -144,3 +144,14 @@ def test_forced_fetches_and_empty_days(spark, tmp_path):
     with pytest.raises(ValueError):
         Store(spark, base).load_ticks("A", start_date="1970-01-01", end_date="1970-01-03", force_download=True)
     assert fetch.Fetcher(spark, base, "u").work == f"{base}/.fetch"
+
+
+def test_functions_of_series(panel):
+    own = panel["price"].ts_apply(lambda v: v.iloc[-1] - v.iloc[0], 4)
+    want = panel["price"].ts_delta(3)
+    full = panel["price"].ts_mean(4)
+    rows = {(r.symbol, r.end_time): (r.factor, r.want, r.full) for r in own.df().join(want.df().withColumnRenamed("factor", "want"), ["symbol", "end_time", "start_time"]).join(full.df().withColumnRenamed("factor", "full"), ["symbol", "end_time", "start_time"]).collect()}
+    assert rows and all((got is None) == (full is None) and (got is None or got == pytest.approx(w)) for got, w, full in rows.values())
+    spread = {r.end_time: r.factor for r in panel["signal"].cs_apply(lambda v: v.max() - v.min()).df().collect()}
+    frame = panel.to_df().toPandas().groupby("end_time").signal
+    assert spread == {t: float(v.max() - v.min()) for t, v in frame}
