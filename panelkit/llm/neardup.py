@@ -39,6 +39,10 @@ BANDS, BAND_HASHES = 36, 5
 SKETCH_BITS = 28
 #: Texts and shingles of a cluster in one block, about; larger clusters have several.
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1 << 20
+#: Blocks that one block is made of where texts are sent to all of them, by texts and by shingles, and the least number of those.
+WIDE_DOCS, WIDE_SHINGLES, WIDE_LEAST = 8, 3, 8
+#: Texts of a block that are compared one by one; texts that are held against a block at once; numbers in what is made of them, and in a block's matrix.
+FEW_TEXTS, MET_TEXTS, MET_NUMBERS, HELD_NUMBERS = 128, 256, 1 << 21, 1 << 24
 _FACTORS = mix(np.arange(1, BANDS * BAND_HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 #: Bytes of a text's signature: its bands, then its sketch.
 _SIGNATURE = 8 * BANDS + 16
@@ -220,36 +224,99 @@ def _own_edges(node: np.ndarray, sets: list[np.ndarray], similarity: float) -> t
     return a, b
 
 
-def _cross_edges(node: np.ndarray, sets: list[np.ndarray], similarity: float, sent: np.ndarray) -> tuple[list[int], list[int]]:
-    """Edges that link the texts ``sent`` to a block with all of the block that is similar to them: one for each group of
-    the block that others have linked already, so that there are at most as many as texts."""
-    held, own = _Sets(sets, similarity), np.flatnonzero(~sent)
-    group = np.arange(len(own))
-    a, b = [], []
-    for one in np.flatnonzero(sent).tolist():
-        near = held.near(one, own)
-        near = near[node[own[near]] != node[one]]
-        if not len(near):
-            continue
-        met, at = np.unique(group[near], return_index=True)
-        a += [int(node[one])] * len(met)
-        b += node[own[near[at]]].tolist()
-        group[np.isin(group, met)] = met[0]
-    return a, b
-
+class _Held:
+    """The texts of a block, and which of them are similar to others: shingles of many texts are counted by a matrix product, the others by lists of their texts."""
 
-def _block_edges(rows: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Edges ``a``, ``b`` within the texts of each ``cluster`` and ``block``, or where some of them are ``sent``, of those with the others."""
+    def __init__(self, node: list[int], sets: list[np.ndarray], similarity: float):
+        self.similarity = similarity
+        self.node = np.array(node, np.int64)
+        self.size = np.array([len(s) for s in sets], np.int64)
+        self.known, at, self.count = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True, return_counts=True)
+        text = np.repeat(np.arange(len(sets)), self.size)
+        # Columns of shingles that a sixteenth of the texts have, the most frequent ones as far as the room goes.
+        often = np.flatnonzero(self.count > max(32, len(sets) // 16))
+        often = often[np.argsort(-self.count[often], kind="stable")[: HELD_NUMBERS // max(1, len(sets))]]
+        self.column = np.full(len(self.known), -1, np.int64)
+        self.column[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), len(sets)), np.float32)
+        column = self.column[at]
+        self.dense[column[column >= 0], text[column >= 0]] = 1
+        self.listed = text[np.argsort(at, kind="stable")].astype(np.int32)
+        self.start = np.cumsum(self.count) - self.count
+        self.edges: list[np.ndarray] = []
+
+    def meet(self, node: list[int], sets: list[np.ndarray]) -> None:
+        """Takes up edges whose components are those of all similar pairs of these texts and the block's."""
+        size = np.array([len(s) for s in sets], np.int64)
+        row = np.repeat(np.arange(len(sets)), size)
+        every = np.concatenate([np.zeros(0, np.uint64), *sets])
+        at = np.minimum(np.searchsorted(self.known, every), max(0, len(self.known) - 1))
+        found = self.known[at] == every if len(self.known) else np.zeros(len(every), bool)
+        at, row = at[found], row[found]
+        rare = self.column[at] < 0
+        work = np.cumsum(np.bincount(row[rare], self.count[at[rare]], len(sets)))
+        low = 0
+        while low < len(sets):
+            high = int(np.searchsorted(work, (work[low - 1] if low else 0) + MET_NUMBERS, "right"))
+            high = min(len(sets), max(low + 1, high), low + MET_TEXTS)
+            part = slice(*np.searchsorted(row, [low, high]))
+            self._meet(np.array(node[low:high], np.int64), size[low:high], at[part], row[part] - low)
+            low = high
+
+    def _meet(self, node: np.ndarray, size: np.ndarray, at: np.ndarray, row: np.ndarray) -> None:
+        n, rare = len(self.node), self.column[at] < 0
+        held = np.zeros((len(node), len(self.dense)), np.float32)
+        held[row[~rare], self.column[at[~rare]]] = 1
+        common = held @ self.dense
+        length = self.count[at[rare]]
+        places = np.repeat(self.start[at[rare]] - (np.cumsum(length) - length), length) + np.arange(length.sum())
+        common += np.bincount(np.repeat(row[rare] * n, length) + self.listed[places], minlength=common.size).reshape(common.shape)
+        # A bound that rounding can't miss, then the pairs that are within it.
+        least = self.similarity / (1 + self.similarity)
+        x, y = np.nonzero(common >= (least * size).astype(np.float32)[:, None] + (least * self.size - 0.5).astype(np.float32))
+        both = common[x, y].astype(np.int64)
+        similar = both >= self.similarity * (self.size[y] + size[x] - both)
+        near = np.zeros(common.shape, np.float32)
+        near[x[similar], y[similar]] = 1
+        # Each text of the block with the first that it is similar to, and those that have one of the block in common.
+        met = np.flatnonzero(near.any(0))
+        p, q = np.nonzero(np.triu(near @ near.T, 1))
+        a, b = np.concatenate([node[near[:, met].argmax(0)], node[p]]), np.concatenate([self.node[met], node[q]])
+        self.edges.append(np.stack(graph.stars(a, b)))
+        if sum(e.shape[1] for e in self.edges) > MET_NUMBERS // 16:
+            self.edges = [np.stack(graph.stars(*np.concatenate(self.edges, axis=1)))]
+
+    def linked(self) -> tuple[np.ndarray, np.ndarray]:
+        """Star edges of all that was taken up."""
+        return graph.stars(*np.concatenate([np.zeros((2, 0), np.int64), *self.edges], axis=1))
+
+
+def _block_edges(rows: DataFrame, width: int, similarity: float, cross: bool = False) -> DataFrame:
+    """Edges ``a``, ``b`` within the texts of each ``cluster`` and ``block``, or with ``cross`` of those that are ``sent`` with the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, node, sent, sets = None, [], [], []
+        current, held, last = None, None, None
+        node: list[int] = []
+        sets: list[np.ndarray] = []
+
+        def clear() -> None:
+            nonlocal node, sets
+            node, sets = [], []
 
         def done() -> Iterator[pa.RecordBatch]:
-            marks = np.array(sent, bool)
-            if len(node) > 1 and not marks.all():
-                a, b = _cross_edges(np.array(node), sets, similarity, marks) if marks.any() else _own_edges(np.array(node), sets, similarity)
-                if a:
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            nonlocal held
+            if not cross and 1 < len(node) <= FEW_TEXTS:
+                a, b = _own_edges(np.array(node), sets, similarity)
+            elif held is None and (cross or len(node) < 2):
+                a, b = [], []
+            else:
+                held = held or _Held(node, sets, similarity)
+                held.meet(node, sets)
+                a, b = held.linked()
+            held = None
+            clear()
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
             groups, nodes, marks = zip(*(batch.column(k).to_pylist() for k in (0, 1)), strict=True), batch.column(2).to_pylist(), batch.column(3).to_pylist()
@@ -260,12 +327,20 @@ def _block_edges(rows: DataFrame, width: int, similarity: float) -> DataFrame:
             for key, n, s, found in zip(groups, nodes, marks, made, strict=True):
                 if key != current:
                     yield from done()
-                    current, node, sent, sets = key, [], [], []
+                    current, last = key, None
                 # Rows of one id and one text are one node.
-                if not node or (node[-1], sent[-1]) != (n, s):
-                    node.append(n)
-                    sent.append(s)
-                    sets.append(found)
+                if last == (n, s):
+                    continue
+                last = n, s
+                if s and held is None:
+                    held = _Held(node, sets, similarity)
+                    clear()
+                elif s and len(node) >= MET_TEXTS:
+                    # What is sent is not held: of a large cluster it may be most texts.
+                    held.meet(node, sets)
+                    clear()
+                node.append(n)
+                sets.append(found)
         yield from done()
 
     ordered = rows.select("cluster", "block", "node", "sent", "text").repartition("cluster", "block").sortWithinPartitions("cluster", "block", "sent", "node")
@@ -273,13 +348,13 @@ def _block_edges(rows: DataFrame, width: int, similarity: float) -> DataFrame:
 
 
 def _texts(rows: DataFrame, members: DataFrame, repeated: bool) -> DataFrame:
-    """``node``, ``cluster``, ``n_blocks`` and ``text`` of the rows that are members, by id and words; where rows are ``repeated``, of one of each."""
-    found = _with_sequence(rows).join(members, ["_id", "_a", "_b"]).select("node", "cluster", "n_blocks", "text")
+    """``node``, ``cluster``, ``n_blocks``, ``n_wide`` and ``text`` of the rows that are members, by id and words; where rows are ``repeated``, of one of each."""
+    found = _with_sequence(rows).join(members, ["_id", "_a", "_b"]).select("node", "cluster", "n_blocks", "n_wide", "text")
     return found.dropDuplicates(["node"]) if repeated else found
 
 
 def _verified(rows: DataFrame, members: DataFrame, repeated: bool, width: int, similarity: float) -> DataFrame:
-    """Edges between members (``_id, _a, _b, node, cluster, n_blocks``) whose components are those of all similar pairs of a cluster."""
+    """Edges between members (``_id, _a, _b, node, cluster, n_blocks, n_wide``) whose components are those of all similar pairs of a cluster."""
 
     def placed(some: DataFrame) -> DataFrame:
         return _texts(rows, some, repeated).withColumns({"block": F.pmod(F.xxhash64("node"), F.col("n_blocks")), "sent": F.lit(False)})
@@ -291,9 +366,10 @@ def _verified(rows: DataFrame, members: DataFrame, repeated: bool, width: int, s
     big = pinned(placed(large))
 
     def across(senders: DataFrame) -> DataFrame:
-        """``senders`` (``node``) against all blocks of their clusters."""
-        sent = big.join(senders, "node", "left_semi").withColumns({"block": F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_blocks") - 1)), "sent": F.lit(True)})
-        return pinned(_block_edges(big.unionByName(sent), width, similarity))
+        """``senders`` (``node``) against all texts of their clusters, in fewer blocks, as each gets them all."""
+        own = big.withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_wide")))
+        sent = big.join(senders, "node", "left_semi").withColumns({"block": F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_wide") - 1)), "sent": F.lit(True)})
+        return pinned(_block_edges(own.unionByName(sent), width, similarity, True))
 
     # Within blocks, then one text of each group of a block: mostly that makes the groups of a cluster one.
     own = pinned(_block_edges(big, width, similarity))
@@ -326,9 +402,11 @@ def components(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARI
     clusters = pinned(nodes.join(clusters, "fp", "left").withColumn("cluster", F.coalesce("cluster", "fp")), count)
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("k"), F.sum("n").alias("words")).where("k > 1")
     n_blocks = F.ceil(F.greatest(F.col("k") / BLOCK_DOCS, F.col("words") / BLOCK_SHINGLES))
+    n_wide = F.ceil(F.greatest(F.col("k") / (BLOCK_DOCS * WIDE_DOCS), F.col("words") / (BLOCK_SHINGLES * WIDE_SHINGLES), F.lit(WIDE_LEAST)))
     # Written before the join, so that the join is all there is after its exchanges, and a large cluster can be split.
-    sizes = pinned(sizes.select("cluster", F.greatest(F.least(n_blocks, "k"), F.lit(1)).cast("bigint").alias("n_blocks")), count)
-    members = pinned(clusters.join(sizes, "cluster").select(F.col("least").alias("_id"), "_a", "_b", "node", "cluster", "n_blocks"), count)
+    n_blocks = F.greatest(F.least(n_blocks, "k"), F.lit(1)).cast("bigint")
+    sizes = pinned(sizes.select("cluster", n_blocks.alias("n_blocks"), F.least(n_wide, n_blocks).cast("bigint").alias("n_wide")), count)
+    members = pinned(clusters.join(sizes, "cluster").select(F.col("least").alias("_id"), "_a", "_b", "node", "cluster", "n_blocks", "n_wide"), count)
     repeated = not seen.where("n_rows > 1").isEmpty()
     linked = graph.components(_verified(rows, members, repeated, width, similarity)).withColumnRenamed("root", "group")
     grouped = nodes.join(linked, "node", "left").withColumn("group", F.coalesce("group", "node"))
